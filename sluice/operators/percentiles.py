@@ -1,0 +1,85 @@
+"""Exact interpolated percentiles in bounded memory."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+ACCURACY = 10_000
+
+
+def exact_percentiles(
+    df: DataFrame,
+    value: str,
+    probabilities: Sequence[float],
+    keys: Sequence[str] = (),
+    accuracy: int = ACCURACY,
+) -> DataFrame:
+    """keys, q = array of percentiles with linear interpolation, as
+    percentile() gives. percentile() keeps every distinct value of a group in
+    one buffer; here a mergeable sketch first brackets each percentile (its
+    rank error is at most n / accuracy), and only the distinct values inside
+    the brackets are ordered. Values below a bracket are merely counted, so
+    the result is exact. Groups of up to `accuracy` rows are ordered whole.
+
+    Three aggregations with map-side sums; keys must be few (they are joined
+    back), NULL keys form a group."""
+    keys, margin = list(keys), 3.0 / accuracy
+    rows = df.filter(F.col(value).isNotNull()).select(
+        F.struct(F.lit(0).alias("_"), *keys).alias("k"), F.col(value).cast("double").alias("v")
+    )
+    low = [max(p - margin, 0.0) for p in probabilities]
+    high = [min(p + margin, 1.0) for p in probabilities]
+    sketch = rows.groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("v").alias("v_min"),
+        F.max("v").alias("v_max"),
+        F.percentile_approx("v", low + high, accuracy).alias("s"),
+    )
+    small = F.col("n") <= accuracy
+    brackets = F.array(*[
+        F.struct(
+            F.lit(i).alias("i"),
+            F.lit(p).alias("p"),
+            F.when(small, F.col("v_min")).otherwise(F.col("s")[i]).alias("lo"),
+            F.when(small, F.col("v_max")).otherwise(F.col("s")[i + len(low)]).alias("hi"),
+        )
+        for i, p in enumerate(probabilities)
+    ])
+    bounds = sketch.select("k", "n", F.explode(brackets).alias("b")).select("k", "n", "b.*")
+    packed = bounds.groupBy("k").agg(F.collect_list(F.struct("i", "lo", "hi")).alias("bs"))
+    # One row per group; each value is compared with its group's brackets.
+    placed = rows.join(packed, "k").select("k", "v", F.explode("bs").alias("b")).select(
+        "k", "b.i", F.when(F.col("v").between(F.col("b.lo"), F.col("b.hi")), F.col("v")).alias("inside"),
+        (F.col("v") < F.col("b.lo")).alias("is_below"),
+    )
+    # Everything outside the bracket collapses into two rows per group.
+    counted = placed.groupBy("k", "i", "inside", "is_below").agg(F.count(F.lit(1)).alias("c"))
+    upwards = Window.partitionBy("k", "i").orderBy("order", "inside").rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    ranked = counted.withColumn(
+        "order", F.when(F.col("is_below"), 0).when(F.col("inside").isNotNull(), 1).otherwise(2)
+    ).withColumn("upto", F.sum("c").over(upwards))
+    place = F.col("p") * (F.col("n") - 1)
+    found = (
+        ranked.filter(F.col("order") == 1)
+        .join(bounds.select("k", "i", "n", "p"), ["k", "i"])
+        .groupBy("k", "i", "n", "p")
+        .agg(
+            F.min(F.when(F.col("upto") > F.floor(place), F.col("inside"))).alias("left"),
+            F.min(F.when(F.col("upto") > F.ceil(place), F.col("inside"))).alias("right"),
+        )
+        .select(
+            "k",
+            "i",
+            (F.col("left") + (place - F.floor(place)) * (F.col("right") - F.col("left"))).alias("q"),
+        )
+    )
+    return (
+        found.groupBy("k")
+        .agg(F.sort_array(F.collect_list(F.struct("i", "q"))).alias("a"))
+        .select(*[F.col(f"k.{c}").alias(c) for c in keys], F.col("a.q").alias("q"))
+    )
