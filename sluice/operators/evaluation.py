@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from sluice.functions.answers import confidence_band
 
-_hit = F.coalesce(F.col("y_true") == F.col("pred"), F.lit(False))
+
+def _hit() -> Column:
+    return F.coalesce(F.col("y_true") == F.col("pred"), F.lit(False))
 
 
 def evaluation_counts(
@@ -59,7 +61,7 @@ def _rate(part: Column, whole: Column) -> Column:
 def accuracy(counts: DataFrame, *keys: str) -> DataFrame:
     """keys, n, accuracy."""
     n = F.sum("n")
-    right = F.sum(F.when(_hit, F.col("n")).otherwise(0))
+    right = F.sum(F.when(_hit(), F.col("n")).otherwise(0))
     return counts.groupBy(*keys).agg(n.alias("n"), (right / n).alias("accuracy"))
 
 
@@ -71,7 +73,7 @@ def class_scores_table(counts: DataFrame, *keys: str) -> DataFrame:
             F.col("y_true").alias("label"),
             F.col("n").alias("support"),
             F.lit(0).cast("long").alias("predicted"),
-            F.when(_hit, F.col("n")).otherwise(0).alias("tp"),
+            F.when(_hit(), F.col("n")).otherwise(0).alias("tp"),
         ),
         F.struct(
             F.col("pred").alias("label"),
@@ -153,10 +155,10 @@ def recovery(counts: DataFrame, baseline: str, band: str = "LOW") -> DataFrame:
         return F.sum(F.when(when, F.col("n")).otherwise(0))
 
     return rows.groupBy("model").agg(
-        total(~base & _hit).alias("recoveries"),
-        total(base & ~_hit).alias("regressions"),
-        total(~base & ~_hit).alias("both_wrong"),
-        (total(~base & _hit) - total(base & ~_hit)).alias("net_gain"),
+        total(~base & _hit()).alias("recoveries"),
+        total(base & ~_hit()).alias("regressions"),
+        total(~base & ~_hit()).alias("both_wrong"),
+        (total(~base & _hit()) - total(base & ~_hit())).alias("net_gain"),
     )
 
 
@@ -177,9 +179,9 @@ def subset_comparison(
     mine = leveled.filter(F.col("model") == model)
     base = F.col("base_right")
     gains = mine.groupBy("band").agg(
-        F.sum(F.when(~base & _hit, F.col("n")).otherwise(0)).alias("recoveries"),
-        F.sum(F.when(base & ~_hit, F.col("n")).otherwise(0)).alias("regressions"),
-        F.sum(F.when(~base & ~_hit, F.col("n")).otherwise(0)).alias("both_wrong"),
+        F.sum(F.when(~base & _hit(), F.col("n")).otherwise(0)).alias("recoveries"),
+        F.sum(F.when(base & ~_hit(), F.col("n")).otherwise(0)).alias("regressions"),
+        F.sum(F.when(~base & ~_hit(), F.col("n")).otherwise(0)).alias("both_wrong"),
     )
     return table.join(gains, "band").select(
         "band",
