@@ -54,7 +54,7 @@ def training(
 
 
 def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events in the role of the prediction log. latency_ms stays a double."""
+    """events in the role of the prediction log."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return as_log(table(spark, sf_dir, "events"))
 
@@ -66,7 +66,7 @@ def as_log(events: DataFrame) -> DataFrame:
         F.when(kind.isin("click", "view"), "hybrid").otherwise(kind).alias("routed_to"),
         F.when(kind == "error", "low").otherwise("high").alias("reliability"),
         ((F.col("event_id") * 37 % 100) / F.lit(100.0)).alias("routing_score"),
-        F.col("value").alias("latency_ms"),
+        F.col("value").cast("int").alias("latency_ms"),
         F.col("ts").cast("timestamp").alias("created_at"),
     )
 

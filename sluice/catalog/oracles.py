@@ -208,7 +208,7 @@ FROM class_table GROUP BY {k}""",
 _LOG = """SELECT event_id::VARCHAR AS id,
 CASE WHEN event_type IN ('click', 'view') THEN 'hybrid' ELSE event_type END AS routed_to,
 CASE WHEN event_type = 'error' THEN 'low' ELSE 'high' END AS reliability,
-(event_id * 37 % 100) / 100.0::DOUBLE AS routing_score, value AS latency_ms, ts AS created_at FROM events"""
+(event_id * 37 % 100) / 100.0::DOUBLE AS routing_score, trunc(value)::INT AS latency_ms, ts AS created_at FROM events"""
 
 
 def _metrics(extra: str = "") -> str:
@@ -255,7 +255,7 @@ length(text) AS n_chars, md5(text) AS digest FROM documents"""
     sql["label_codes"] = _with({"marks": _LABELS}, "SELECT report_id, label AS code FROM marks")
     sql["append_prediction_log"] = _with(
         {"log": _LOG},
-        """SELECT id, upper(routed_to) AS prediction_label, routing_score, trunc(latency_ms)::INT AS latency_ms,
+        """SELECT id, upper(routed_to) AS prediction_label, routing_score, latency_ms,
 routed_to || ',other' AS stored_candidates, created_at::DATE::VARCHAR AS created_date FROM log""",
     )
     sql["saved_model_round_trip"] = "SELECT count(*) AS n_reports, 0::BIGINT AS n_different FROM documents"
@@ -312,10 +312,10 @@ WHERE doc_id IN (SELECT doc_id FROM labels)"""
     sql["aligned_predictions"] = _with(_EVAL, "SELECT model, report_id, y_true, pred, confidence FROM joined")
     sql["alignment_report"] = _with(
         {**_EVAL, "marks": _LABELS,
-         "some": "SELECT p.* FROM preds p JOIN documents d ON d.doc_id = p.report_id WHERE d.lang <> 'fr'"},
+         "part": "SELECT p.* FROM preds p JOIN documents d ON d.doc_id = p.report_id WHERE d.lang <> 'fr'"},
         """SELECT model, count(m.report_id) AS matched, count(*) FILTER (m.report_id IS NULL) AS only_in_predictions,
 (SELECT count(*) FROM marks) - count(m.report_id) AS only_in_truth
-FROM some LEFT JOIN marks m USING (report_id) GROUP BY model""",
+FROM part LEFT JOIN marks m USING (report_id) GROUP BY model""",
     )
     sql["group_split"] = _with(_SPLIT_PARTS, "SELECT report_id, group_id, split FROM split_rows")
     sql["validation_split"] = _with(
@@ -492,7 +492,7 @@ CASE WHEN f.w IN ('EN', 'FR', 'DE') THEN 1 ELSE 2 END AS attempts FROM first f J
 FROM documents WHERE (doc_id * 37 % 100) / 100.0::DOUBLE < {T}::DOUBLE"""
     sql["classify_reports"] = _with(
         _ROUTED,
-        f"""SELECT report_id, {_ID} AS prediction_id, prediction, round(round(score, 4), 3) AS routing_score, routed_to,
+        f"""SELECT report_id, {_ID} AS prediction_id, prediction, round(score, 4) AS routing_score, routed_to,
 'high' AS reliability, candidates AS top_k_candidates FROM routed JOIN cand_lists USING (report_id)""",
     )
     sql["classify_reference_cap"] = _with(
@@ -591,9 +591,10 @@ FROM registry r LEFT JOIN preds p USING (model) GROUP BY r.model""",
     )
     low = {
         **_EVAL,
-        "low": f"""SELECT r.*, {hits} AS accuracy, CASE WHEN r.model = 'base' THEN 0 ELSE
-count(*) FILTER (base_pred <> y_true AND pred = y_true) - count(*) FILTER (base_pred = y_true AND pred <> y_true) END AS net_gain
-FROM joined JOIN registry r USING (model) WHERE band = 'LOW' GROUP BY ALL""",
+        "gains": f"""SELECT model, {hits} AS accuracy,
+count(*) FILTER (base_pred <> y_true AND pred = y_true) - count(*) FILTER (base_pred = y_true AND pred <> y_true) AS net_gain
+FROM joined WHERE band = 'LOW' GROUP BY model""",
+        "low": "SELECT * FROM gains JOIN registry USING (model)",
         "best": """SELECT model FROM low WHERE is_local AND NOT is_baseline AND accuracy > 0
 ORDER BY accuracy DESC, registry_order LIMIT 1""",
     }

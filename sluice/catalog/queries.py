@@ -111,7 +111,7 @@ def _full_log(spark, d) -> DataFrame:
         "routed_to",
         "reliability",
         F.array(F.col("routed_to"), F.lit("other")).alias("top_k_candidates"),
-        F.col("latency_ms").cast("int").alias("latency_ms"),
+        "latency_ms",
         "created_at",
     )
 
@@ -766,7 +766,7 @@ def classify_reports(spark, d):
         "report_id",
         "prediction_id",
         "prediction",
-        F.round("routing_score", 3).alias("routing_score"),
+        "routing_score",
         "routed_to",
         "reliability",
         answers.encode_candidates(F.col("top_k_candidates")).alias("top_k_candidates"),
