@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluice.params import CascadeParams
 from sluice.plans.training import Training, train
 from sluice.session import StageStore
+from sluice.sources.reports import read_reports, spread_small
 
 # The reference's values, but every window of a text is scored.
 PARAMS = CascadeParams(max_windows=None)
@@ -22,8 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """report_id, group_id, text."""
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("report_id"), F.col("source").alias("group_id"), "text"
+    return spread_small(
+        read_reports(spark, f"{sf_dir}/documents.parquet", "doc_id", "source")
     )
 
 

@@ -22,6 +22,7 @@ from sluice.plans import cascade
 from sluice.session import StageStore
 from sluice.sources import evaluation_store, labels, prediction_log
 from sluice.sources import reports as report_files
+from sluice.sources.reports import spread_small
 from sluice.streaming import classify as stream_classify
 from sluice.streaming import metrics as stream_metrics
 
@@ -558,7 +559,9 @@ def _fit_vectors(spark, d):
         "report_id",
     )
     store = StageStore(spark)
-    parts = store.put("corpus", splits.group_split(corpus, "group_id", P.test_share, P.seed))
+    parts = spread_small(
+        store.put("corpus", splits.group_split(corpus, "group_id", P.test_share, P.seed))
+    )
     documents = voc.report_terms(parts, _FIT, "label", "split")
     trained = documents.filter(F.col("split") == "train")
     vocab = store.put("vocabulary", voc.fit_vocabulary(trained, _FIT, store))

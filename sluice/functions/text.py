@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A word is two or more letters, digits or underscores. The
@@ -46,10 +46,15 @@ def with_bigrams(tokens: Column) -> Column:
     return F.concat(tokens, F.filter(pairs, lambda p: p.isNotNull()))
 
 
-def terms(tokens: Column, stop_words: Sequence[str], ngram_max: int) -> Column:
-    """Vectorizer terms: stop words go first, n-grams are formed after."""
-    kept = drop_stop_words(tokens, stop_words)
-    return with_bigrams(kept) if ngram_max == 2 else kept
+def add_terms(
+    df: DataFrame, tokens: str, stop_words: Sequence[str], ngram_max: int
+) -> DataFrame:
+    """Replaces a column of tokens by `terms`: stop words go first, n-grams
+    are formed after. Two projections, because the filtered tokens are used
+    several times and must be computed once."""
+    kept = df.withColumn(tokens, drop_stop_words(F.col(tokens), stop_words))
+    column = with_bigrams(F.col(tokens)) if ngram_max == 2 else F.col(tokens)
+    return kept.select(*[c for c in df.columns if c != tokens], column.alias("terms"))
 
 
 def window_count(n_tokens: Column, size: int, overlap: int, cap: int | None) -> Column:

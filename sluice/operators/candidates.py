@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators.centroids import CentroidModel
-from sluice.operators.vectors import score_arrays, vector_entries
+from sluice.operators.vectors import count_scores
 from sluice.operators.vocabulary import report_terms
 
 
@@ -30,8 +30,7 @@ def pick(values: Column, positions: Column) -> Column:
 def report_scores(reports: DataFrame, model: CentroidModel) -> DataFrame:
     """report_id, scores over all classes."""
     documents = report_terms(reports, model.params)
-    vectors = model.vectorizer.transform(documents).select("report_id", "tfidf")
-    return score_arrays(vector_entries(vectors, "report_id"), model.weights, "report_id")
+    return count_scores(model.counter.transform(documents), model.weights, "report_id")
 
 
 def top_candidates(scores: DataFrame, labels, k: int, decimals: int) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,11 @@ class CentroidModel:
     vectorizer: PipelineModel
     weights: ClassWeights
 
+    @property
+    def counter(self) -> CountVectorizerModel:
+        """terms -> counts, the first step of the vectorizer."""
+        return self.vectorizer.stages[0]
+
     @property
     def labels(self) -> tuple[str, ...]:
         return self.weights.labels
@@ -102,6 +107,9 @@ def fit_centroids(train: DataFrame, params: CascadeParams, store: StageStore) ->
     labels = tuple(r.label for r in centroids.select("label").orderBy("label").limit(params.max_labels + 1).collect())
     if len(labels) > params.max_labels:
         raise ValueError(f"more than {params.max_labels} classes")
-    table = store.put("weights", weight_table(centroids))
+    idf = term_index(train.sparkSession, fitted).join(vocab.select("term", "idf"), "term")
+    table = store.put(
+        "weights", weight_table(centroids).join(idf, "idx").select("idx", "idf", "weights")
+    )
     n_terms = len(fitted.stages[0].vocabulary)
     return CentroidModel(params, vocab, fitted, ClassWeights(table, labels, n_terms))

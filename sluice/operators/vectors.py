@@ -63,7 +63,8 @@ def tfidf_rows(documents: DataFrame, fitted: PipelineModel) -> DataFrame:
 
 @dataclass(frozen=True)
 class ClassWeights:
-    """idx -> weights array (one entry per label, in label order)."""
+    """idx, weights array (one entry per label, in label order), and for
+    scoring straight from term counts also idf."""
 
     table: DataFrame
     labels: tuple[str, ...]
@@ -117,3 +118,36 @@ def score_arrays(entries: DataFrame, weights: ClassWeights, *keys: str) -> DataF
             ),
         )
     )
+
+
+def count_scores(df: DataFrame, weights: ClassWeights, *keys: str) -> DataFrame:
+    """keys, scores from rows with a `counts` vector. The vector's length is
+    one more sum in the same grouping, so counts are scored without building
+    the TF-IDF vectors first."""
+    labels = weights.labels
+    entries = vector_entries(df, *keys, vector="counts")
+    joined = entries.join(weights.side(), "idx", "left").withColumn(
+        "x", F.col("w") * F.col("idf")
+    )
+    length = F.sqrt(F.sum(F.col("x") * F.col("x")))
+    zero = F.lit(0.0)
+    if len(labels) > WIDE_LABELS:
+        none = F.array_repeat(zero, len(labels))
+        rows = (
+            joined.select(*keys, "x", F.posexplode(F.coalesce("weights", none)).alias("c", "cw"))
+            .groupBy(*keys, "c")
+            .agg(F.coalesce(F.sum(F.col("x") * F.col("cw")) / length, zero).alias("score"))
+        )
+        packed = F.sort_array(F.collect_list(F.struct("c", "score")))  # one per class
+        return rows.groupBy(*keys).agg(packed.alias("p")).select(
+            *keys, F.col("p.score").alias("scores")
+        )
+    sums = [
+        F.sum(F.col("x") * F.col("weights")[i]).alias(f"s{i}") for i in range(len(labels))
+    ]
+    scores = [F.coalesce(F.col(f"s{i}") / F.col("length"), zero) for i in range(len(labels))]
+    return (
+        joined.groupBy(*keys)
+        .agg(length.alias("length"), *sums)
+        .select(*keys, F.array(*scores).alias("scores"))
+    )

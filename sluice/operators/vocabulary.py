@@ -5,33 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.text import terms, word_tokens
+from sluice.functions.text import add_terms, word_tokens
 from sluice.params import CascadeParams
 from sluice.session import StageStore
 
 
 def report_terms(df: DataFrame, params: CascadeParams, *keep: str) -> DataFrame:
     """Report id, further columns, and the array of vectorizer terms."""
-    column = terms(word_tokens(F.col("text")), params.stop_words, params.ngram_max)
-    return df.select("report_id", *keep, column.alias("terms"))
+    tokens = df.select("report_id", *keep, word_tokens(F.col("text")).alias("tokens"))
+    return add_terms(tokens, "tokens", params.stop_words, params.ngram_max)
 
 
 def term_statistics(documents: DataFrame) -> DataFrame:
-    """term, tf (occurrences), df (documents). Each term array is sorted in
-    place, so the first of equal neighbours stands for the document: one
-    grouping by term with map-side sums, none by document."""
-    ordered = documents.select(F.sort_array("terms").alias("s"))
-    flagged = F.transform(
-        "s",
-        lambda t, i: F.struct(
-            t.alias("term"),
-            F.when((i > 0) & (F.get("s", i - 1) == t), 0).otherwise(1).alias("is_first"),
-        ),
+    """term, tf (occurrences), df (documents). Each term array is sorted and
+    laid beside itself, shifted by one, so a term that differs from the one
+    before it stands for the document: one grouping by term with map-side
+    sums, none by document."""
+    ordered = documents.filter(F.size("terms") > 0).select(F.sort_array("terms").alias("term"))
+    shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice("term", 1, F.size("term") - 1))
+    pairs = ordered.select("term", shifted.alias("before")).select(
+        F.explode(F.arrays_zip("term", "before")).alias("x")
     )
     return (
-        ordered.select(F.explode(flagged).alias("x"))
-        .groupBy("x.term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.sum("x.is_first").alias("df"))
+        pairs.select("x.term", "x.before")
+        .groupBy("term")
+        .agg(
+            F.count(F.lit(1)).alias("tf"),
+            F.count_if(~F.col("term").eqNullSafe(F.col("before"))).alias("df"),
+        )
     )
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.text import terms, token_windows, window_count, word_tokens
+from sluice.functions.text import add_terms, token_windows, window_count, word_tokens
 from sluice.operators.candidates import label_array, pick, ranked_indices
 from sluice.operators.centroids import CentroidModel
-from sluice.operators.vectors import score_arrays, vector_entries
+from sluice.operators.vectors import count_scores
 from sluice.params import CascadeParams
 
 WHOLE = -1  # chunk_index of the whole report among its windows
@@ -55,21 +55,19 @@ def scoring_units(reports: DataFrame, params: CascadeParams) -> DataFrame:
     )
     whole = F.array(F.struct(F.lit(WHOLE).alias("chunk_index"), F.col("tokens")))
     units = tokens.select("report_id", F.explode(F.concat(whole, windows)).alias("u"))
-    return units.select(
-        "report_id",
-        "u.chunk_index",
-        terms(F.col("u.tokens"), params.stop_words, params.ngram_max).alias("terms"),
+    return add_terms(
+        units.select("report_id", "u.chunk_index", "u.tokens"),
+        "tokens",
+        params.stop_words,
+        params.ngram_max,
     )
 
 
 def unit_scores(reports: DataFrame, model: CentroidModel) -> DataFrame:
     """report_id, chunk_index, scores. One scan of the text serves both
     stages; only one small row per window leaves the task that read it."""
-    units = model.vectorizer.transform(scoring_units(reports, model.params))
-    entries = vector_entries(
-        units.select("report_id", "chunk_index", "tfidf"), "report_id", "chunk_index"
-    )
-    return score_arrays(entries, model.weights, "report_id", "chunk_index")
+    units = model.counter.transform(scoring_units(reports, model.params))
+    return count_scores(units, model.weights, "report_id", "chunk_index")
 
 
 def softmax(scores: Column, scale: float) -> Column:

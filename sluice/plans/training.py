@@ -12,6 +12,7 @@ from sluice.operators.joins import labelled_corpus
 from sluice.operators.splits import group_split, leaked_groups
 from sluice.params import CascadeParams
 from sluice.session import StageStore
+from sluice.sources.reports import spread_small
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,9 @@ def train(
 ) -> Training:
     """Join, split, check for leakage, fit on the training side. The split
     corpus is written once; the fit reads it twice without joining again."""
-    corpus = store.put("corpus", split_corpus(reports, labels, params, key, validation_share))
+    corpus = spread_small(
+        store.put("corpus", split_corpus(reports, labels, params, key, validation_share))
+    )
     if leaked_groups(corpus).first().leaked_groups:
         raise ValueError("a group is on more than one side of the split")
     training = corpus.filter(F.col("split") == "train")
