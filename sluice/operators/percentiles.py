@@ -51,7 +51,11 @@ def exact_percentiles(
     bounds = sketch.select("k", "n", F.explode(brackets).alias("b")).select("k", "n", "b.*")
     packed = bounds.groupBy("k").agg(F.collect_list(F.struct("i", "lo", "hi")).alias("bs"))
     # One row per group; each value is compared with its group's brackets.
-    placed = rows.join(packed, "k").select("k", "v", F.explode("bs").alias("b")).select(
+    if keys:
+        bracketed = rows.join(packed, "k")
+    else:
+        bracketed = rows.withColumn("bs", packed.select("bs").scalar())
+    placed = bracketed.select("k", "v", F.explode("bs").alias("b")).select(
         "k", "b.i", F.when(F.col("v").between(F.col("b.lo"), F.col("b.hi")), F.col("v")).alias("inside"),
         (F.col("v") < F.col("b.lo")).alias("is_below"),
     )
