@@ -21,13 +21,17 @@ def term_statistics(documents: DataFrame) -> DataFrame:
     laid beside itself, shifted by one, so a term that differs from the one
     before it stands for the document: one grouping by term with map-side
     sums, none by document."""
-    ordered = documents.filter(F.size("terms") > 0).select(F.sort_array("terms").alias("term"))
-    shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice("term", 1, F.size("term") - 1))
+    ordered = documents.select(F.sort_array("terms").alias("term"))
+    size = F.greatest(F.size("term") - 1, F.lit(0))
+    shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice("term", F.lit(1), size))
+    # explode_outer: for explode, Spark would first filter on the array's size
+    # and compute the whole array once more for it.
     pairs = ordered.select("term", shifted.alias("before")).select(
-        F.explode(F.arrays_zip("term", "before")).alias("x")
+        F.explode_outer(F.arrays_zip("term", "before")).alias("x")
     )
     return (
         pairs.select("x.term", "x.before")
+        .filter(F.col("term").isNotNull())
         .groupBy("term")
         .agg(
             F.count(F.lit(1)).alias("tf"),
@@ -78,6 +82,6 @@ def match_vocabulary(documents: DataFrame, vocab: DataFrame) -> DataFrame:
     """Document terms that are in the vocabulary with their in-document
     counts: report_id, term, tf, idf. The join comes first: it drops the
     out-of-vocabulary terms before anything is shuffled."""
-    exploded = documents.select("report_id", F.explode("terms").alias("term"))
+    exploded = documents.select("report_id", F.explode_outer("terms").alias("term"))
     known = exploded.join(vocab.select("term", "idf"), "term")
     return known.groupBy("report_id", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))

@@ -17,10 +17,12 @@ WHOLE = -1  # chunk_index of the whole report among its windows
 def report_windows(reports: DataFrame, params: CascadeParams) -> DataFrame:
     """report_id, chunk_index, tokens: overlapping windows of each report."""
     tokens = reports.select("report_id", word_tokens(F.col("text")).alias("tokens"))
+    # There is always a window; the outer variant spares a size check that
+    # would cut the text twice.
     windows = token_windows(
         F.col("tokens"), params.window_tokens, params.window_overlap, params.max_windows
     )
-    return tokens.select("report_id", F.posexplode(windows).alias("chunk_index", "tokens"))
+    return tokens.select("report_id", F.posexplode_outer(windows).alias("chunk_index", "tokens"))
 
 
 def window_text(tokens: Column) -> Column:
@@ -54,7 +56,8 @@ def scoring_units(reports: DataFrame, params: CascadeParams) -> DataFrame:
         lambda w, i: F.struct(i.alias("chunk_index"), w.alias("tokens")),
     )
     whole = F.array(F.struct(F.lit(WHOLE).alias("chunk_index"), F.col("tokens")))
-    units = tokens.select("report_id", F.explode(F.concat(whole, windows)).alias("u"))
+    # Never empty; explode_outer keeps Spark from computing it twice to check.
+    units = tokens.select("report_id", F.explode_outer(F.concat(whole, windows)).alias("u"))
     return add_terms(
         units.select("report_id", "u.chunk_index", "u.tokens"),
         "tokens",
@@ -154,7 +157,7 @@ def with_defaults(candidates: DataFrame, best: DataFrame) -> DataFrame:
 def window_candidates(windows: DataFrame, candidates: DataFrame) -> DataFrame:
     """report_id, chunk_index, rank, label: what a caller's own window scorer
     has to score; each window meets only its own report's few candidates."""
-    ranked = candidates.select("report_id", F.posexplode("candidates").alias("rank", "label"))
+    ranked = candidates.select("report_id", F.posexplode_outer("candidates").alias("rank", "label"))
     return windows.select("report_id", "chunk_index").join(ranked, "report_id").select(
         "report_id", "chunk_index", (F.col("rank") + 1).alias("rank"), "label"
     )
