@@ -21,8 +21,8 @@ def _counts() -> list[Column]:
         hybrid.alias("routed_to_hybrid"),
         (total - hybrid).alias("routed_to_fallback"),
         low.alias("low_reliability_count"),
-        F.round((total - hybrid) / total, 4).alias("fallback_rate"),
-        F.round(low / total, 4).alias("low_reliability_rate"),
+        F.round(F.try_divide(total - hybrid, total), 4).alias("fallback_rate"),
+        F.round(F.try_divide(low, total), 4).alias("low_reliability_rate"),
         F.round(F.avg("latency_ms"), 2).alias("avg_latency_ms"),
         F.round(F.avg("routing_score"), 4).alias("avg_routing_score"),
     ]
@@ -37,30 +37,17 @@ def _latencies(q: Column) -> list[Column]:
 
 def log_counts(log: DataFrame) -> DataFrame:
     """Totals, rates and means in one pass over four columns; an empty log
-    gives one row of zeros. try_divide is not needed: the zero row is filled
-    afterwards."""
-    zeros = log.agg(*_safe(_counts()))
-    return zeros.na.fill(0)
+    gives one row of zeros."""
+    return log.agg(*_counts()).na.fill(0)
 
 
-def _safe(columns: list[Column]) -> list[Column]:
-    # ANSI division fails on 0 / 0, an empty log must not.
-    total = F.count("id")
-    rates = {"fallback_rate", "low_reliability_rate"}
-    names = [
-        "total_requests", "routed_to_hybrid", "routed_to_fallback", "low_reliability_count",
-        "fallback_rate", "low_reliability_rate", "avg_latency_ms", "avg_routing_score",
-    ]
-    return [
-        F.when(total > 0, c).alias(n) if n in rates else c for n, c in zip(names, columns)
-    ]
-
-
-def latency_percentiles(log: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def latency_percentiles(
+    log: DataFrame, keys: Sequence[str] = (), few_groups: bool = False
+) -> DataFrame:
     """keys, p50_latency_ms, p95_latency_ms (exact, interpolated)."""
-    return exact_percentiles(log, "latency_ms", PERCENTILES, keys).select(
-        *keys, *_latencies(F.col("q"))
-    )
+    return exact_percentiles(
+        log, "latency_ms", PERCENTILES, keys, few_groups=few_groups
+    ).select(*keys, *_latencies(F.col("q")))
 
 
 def log_metrics(log: DataFrame) -> DataFrame:
@@ -95,7 +82,8 @@ def log_metrics_by(log: DataFrame) -> DataFrame:
     ).select("g.*", "id", "routed_to", "reliability", "latency_ms", "routing_score")
     keys = ["level", "backend", "rel", "day"]
     counts = rows.groupBy(*keys).agg(*_counts())
-    q = latency_percentiles(rows, keys)
+    # Registered backends, two reliabilities and the days of the log.
+    q = latency_percentiles(rows, keys, few_groups=True)
     match = [counts[k].eqNullSafe(q[k]) for k in keys]
     return (
         counts.join(q, match, "left")

@@ -16,6 +16,7 @@ def exact_percentiles(
     probabilities: Sequence[float],
     keys: Sequence[str] = (),
     accuracy: int = ACCURACY,
+    few_groups: bool = False,
 ) -> DataFrame:
     """keys, q = array of percentiles with linear interpolation, as
     percentile() gives. percentile() keeps every distinct value of a group in
@@ -24,8 +25,9 @@ def exact_percentiles(
     the brackets are ordered. Values below a bracket are merely counted, so
     the result is exact. Groups of up to `accuracy` rows are ordered whole.
 
-    Three aggregations with map-side sums; keys must be few (they are joined
-    back), NULL keys form a group."""
+    Three aggregations with map-side sums; NULL keys form a group. One row per
+    group is joined back to the values: with few_groups the caller knows the
+    keys to be few and it is broadcast, else Spark decides by its size."""
     keys, margin = list(keys), 3.0 / accuracy
     rows = df.filter(F.col(value).isNotNull()).select(
         F.struct(F.lit(0).alias("_"), *keys).alias("k"), F.col(value).cast("double").alias("v")
@@ -52,7 +54,7 @@ def exact_percentiles(
     packed = bounds.groupBy("k").agg(F.collect_list(F.struct("i", "lo", "hi")).alias("bs"))
     # One row per group; each value is compared with its group's brackets.
     if keys:
-        bracketed = rows.join(packed, "k")
+        bracketed = rows.join(F.broadcast(packed) if few_groups else packed, "k")
     else:
         bracketed = rows.withColumn("bs", packed.select("bs").scalar())
     placed = bracketed.select("k", "v", F.explode("bs").alias("b")).select(

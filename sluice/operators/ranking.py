@@ -11,15 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKET_DIGITS = 4  # 16^4 = 65,536 buckets
+_CUTOFF_DIGITS = 4  # 16^4 = 65,536 buckets
+_RANK_DIGITS = 3  # 4,096 buckets per group
 
 
 def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def _bucket(h: Column) -> Column:
-    return F.substring(h, 1, _BUCKET_DIGITS)
+def _bucket(h: Column, digits: int) -> Column:
+    return F.substring(h, 1, digits)
 
 
 def cutoff(keys: DataFrame, key: str, seed: int, wanted: Column) -> DataFrame:
@@ -27,7 +28,7 @@ def cutoff(keys: DataFrame, key: str, seed: int, wanted: Column) -> DataFrame:
     string above every hash if there are fewer keys. `wanted` may use
     `n_keys`, the number of distinct keys."""
     hashed = keys.select(hash_order(F.col(key), seed).alias("h")).distinct()
-    counts = hashed.groupBy(_bucket(F.col("h")).alias("bucket")).agg(
+    counts = hashed.groupBy(_bucket(F.col("h"), _CUTOFF_DIGITS).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n")
     )
     # At most 65,536 rows: a window without partitions is safe here.
@@ -41,7 +42,7 @@ def cutoff(keys: DataFrame, key: str, seed: int, wanted: Column) -> DataFrame:
     )
     inside = Window.partitionBy("bucket").orderBy("h")
     hit = (
-        hashed.withColumn("bucket", _bucket(F.col("h")))
+        hashed.withColumn("bucket", _bucket(F.col("h"), _CUTOFF_DIGITS))
         .join(F.broadcast(target), "bucket")  # one row
         .withColumn("rn", F.row_number().over(inside))
         .filter(F.col("rn") == F.col("place"))
@@ -60,11 +61,11 @@ def rank_within(df: DataFrame, group: str, key: str, seed: int, out: str) -> Dat
     (partition by group order by hash), but a group that holds a third of all
     rows is spread over the hash buckets instead of one task. NULL groups form
     one group, like in any window."""
-    keyed = df.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_b", _bucket(F.col("_h")))
+    keyed = df.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_b", _bucket(F.col("_h"), _RANK_DIGITS))
     sizes = keyed.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_c")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    # At most 65,536 rows per group.
+    # At most 4,096 rows per group.
     lower = Window.partitionBy("_g").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "_g", "_c", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before")

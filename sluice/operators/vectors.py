@@ -17,8 +17,8 @@ from sluice.params import CascadeParams
 # by shuffle. The size is known: vocabulary x labels x 8 bytes.
 BROADCAST_BYTES = 256 * 1024 * 1024
 # Up to this many classes get one sum each in a single grouping; more classes
-# are scored as (report, label) rows.
-WIDE_LABELS = 64
+# are scored as one row per vector and class.
+WIDE_LABELS = 256
 
 
 def vectorizer(vocab: DataFrame, params: CascadeParams) -> PipelineModel:
@@ -78,28 +78,32 @@ class ClassWeights:
         return F.broadcast(self.table) if self.n_bytes <= BROADCAST_BYTES else self.table
 
 
-def class_scores(entries: DataFrame, weights: ClassWeights, *keys: str) -> DataFrame:
-    """keys, label, score: the dot product of each vector with each class,
-    one row per class."""
+def _scores_by_position(entries: DataFrame, weights: ClassWeights, *keys: str) -> DataFrame:
     joined = entries.join(weights.side(), "idx", "left")
-    label = F.element_at(F.array(*[F.lit(x) for x in weights.labels]), F.col("c") + 1)
     none = F.array_repeat(F.lit(0.0), len(weights.labels))
     return (
-        joined.select(*keys, "w", F.posexplode(F.coalesce("weights", none)).alias("c", "cw"))
+        joined.select(*keys, "w", F.posexplode_outer(F.coalesce("weights", none)).alias("c", "cw"))
         .groupBy(*keys, "c")
         .agg(F.sum(F.coalesce(F.col("w"), F.lit(0.0)) * F.col("cw")).alias("score"))
-        .select(*keys, label.alias("label"), "score")
     )
 
 
+def class_scores(entries: DataFrame, weights: ClassWeights, *keys: str) -> DataFrame:
+    """keys, label, score: the dot product of each vector with each class,
+    one row per class."""
+    label = F.element_at(F.array(*[F.lit(x) for x in weights.labels]), F.col("c") + 1)
+    rows = _scores_by_position(entries, weights, *keys)
+    return rows.select(*keys, label.alias("label"), "score")
+
+
 def score_arrays(entries: DataFrame, weights: ClassWeights, *keys: str) -> DataFrame:
     """keys, scores: all class scores of a vector in one array, label order.
     Every entry of a vector comes from one row, so the map-side sums shrink
     it to one row before the shuffle."""
     labels = weights.labels
     if len(labels) > WIDE_LABELS:
-        rows = class_scores(entries, weights, *keys)
-        packed = F.sort_array(F.collect_list(F.struct("label", "score")))
+        rows = _scores_by_position(entries, weights, *keys)
+        packed = F.sort_array(F.collect_list(F.struct("c", "score")))  # one per class
         return rows.groupBy(*keys).agg(packed.alias("p")).select(
             *keys, F.col("p.score").alias("scores")
         )
