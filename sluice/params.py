@@ -29,7 +29,8 @@ class CascadeParams:
     stop_words: tuple[str, ...] = STOP_WORDS
 
     # Cosine scores of one text lie close together; the softmax over the
-    # candidates needs a scale. Chosen on the validation split, see README.
+    # candidates needs a scale. 10 is a starting value: choose scale and
+    # threshold on a validation split (validation_share, threshold_sweep).
     softmax_scale: float = 10.0
     # Decimals at which two scores count as equal; ties go to the label.
     tie_decimals: int = 6

@@ -61,3 +61,11 @@ class StageStore:
 
     def get(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
+
+    def drop(self) -> None:
+        """Remove the stage tables of this run, and only those. Call it once
+        everything read from them has been written elsewhere."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.base)
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        folder.getFileSystem(conf).delete(folder, True)

@@ -76,7 +76,8 @@ def spread_small(df: DataFrame, key: str = "report_id") -> DataFrame:
     """A table that comes in fewer input splits than the cluster has cores is
     spread over all of them before the text work starts. Splits are limited in
     size (spark.sql.files.maxPartitionBytes), so what moves here is at most
-    that size times the cores; tables with more splits stay where they are."""
+    that size times the cores; tables with more splits stay where they are.
+    Pass a plain scan: its splits are known without running anything."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 

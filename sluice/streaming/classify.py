@@ -38,6 +38,7 @@ def classify_stream(
         done = classify(rows, model, store, backend, run_id)
         replace_batch(log_rows(done, rows), log, batch_id)
         done.rejects.write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+        store.drop()
 
     return (
         reports.writeStream.foreachBatch(one_batch)

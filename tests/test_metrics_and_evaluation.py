@@ -34,7 +34,7 @@ def test_percentiles_are_exact(spark, accuracy):
 def test_log_metrics(spark):
     rows = [
         ("1", "hybrid", "high", 10, 0.9, None), ("2", "hybrid", "high", 20, 0.8, None),
-        ("3", "groq", "low", 30, 0.3, None),
+        ("3", "remote", "low", 30, 0.3, None),
     ]
     got = metrics.log_metrics(spark.createDataFrame(rows, LOG)).first().asDict()
     assert got == {

@@ -86,6 +86,15 @@ def test_shared_dir_follows_the_session(spark):
     assert StageStore(spark, "/x").base.startswith("/x/stages-")
 
 
+def test_store_drops_its_own_tables_only(spark, tmp_path):
+    kept, gone = StageStore(spark, str(tmp_path)), StageStore(spark, str(tmp_path))
+    for s in (kept, gone):
+        s.put("t", spark.range(3))
+    gone.drop()
+    assert [p.name for p in tmp_path.iterdir()] == [kept.base.rsplit("/", 1)[1]]
+    assert kept.get("t", spark.range(1)).count() == 3
+
+
 @pytest.fixture(scope="module")
 def trained(spark, sf):
     return fx.training(spark, sf)
