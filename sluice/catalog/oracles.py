@@ -42,6 +42,10 @@ FROM (SELECT DISTINCT group_id FROM corpus)"""
 _SPLIT = f"""SELECT c.*, CASE WHEN place <= ceil({P.test_share}::DOUBLE * g) THEN 'test' ELSE 'train' END AS split
 FROM corpus c JOIN places USING (group_id)"""
 
+_THREE_WAY = f"""SELECT c.*, CASE WHEN place <= ceil({P.test_share}::DOUBLE * g) THEN 'test'
+WHEN place <= ceil({P.test_share}::DOUBLE * g) + ceil(0.2::DOUBLE * g) THEN 'validation' ELSE 'train' END AS split
+FROM corpus c JOIN places USING (group_id)"""
+
 
 def _with(parts: dict[str, str], body: str) -> str:
     ctes = ",\n".join(f"{name} AS ({sql})" for name, sql in parts.items())
@@ -319,10 +323,7 @@ FROM part LEFT JOIN marks m USING (report_id) GROUP BY model""",
     )
     sql["group_split"] = _with(_SPLIT_PARTS, "SELECT report_id, group_id, split FROM split_rows")
     sql["validation_split"] = _with(
-        {**_CORPUS_PARTS, "places": _PLACES},
-        f"""SELECT report_id, CASE WHEN place <= ceil({P.test_share}::DOUBLE * g) THEN 'test'
-WHEN place <= ceil({P.test_share}::DOUBLE * g) + ceil(0.2::DOUBLE * g) THEN 'validation' ELSE 'train' END AS split
-FROM corpus JOIN places USING (group_id)""",
+        {**_CORPUS_PARTS, "places": _PLACES, "split_rows": _THREE_WAY}, "SELECT report_id, split FROM split_rows"
     )
     sql["split_report"] = _with(
         _SPLIT_PARTS,
@@ -509,6 +510,17 @@ round(avg((label = hybrid_label)::INT), 6) AS overall_accuracy,
 coalesce(round(avg((label = hybrid_label)::INT) FILTER (score >= {T}::DOUBLE), 6), 0) AS high_confidence_accuracy,
 coalesce(round(avg((label = hybrid_label)::INT) FILTER (score < {T}::DOUBLE), 6), 0) AS low_confidence_accuracy
 FROM split_rows JOIN decisions USING (report_id) WHERE split = 'test'""",
+    )
+    sql["validation_sweep"] = _with(
+        {**_DECIDED, "split_rows": _THREE_WAY,
+         "facts": """SELECT label AS y_true, hybrid_label AS pred, round(score, 6) AS confidence
+FROM split_rows JOIN decisions USING (report_id) WHERE split = 'validation'""",
+         "grid": "SELECT i / 20.0::DOUBLE AS t FROM range(0, 21) r(i)"},
+        """SELECT t AS threshold, count(*) FILTER (confidence >= t) AS n_above,
+round(avg((confidence >= t)::INT), 6) AS coverage,
+round(avg((y_true = pred)::INT) FILTER (confidence >= t), 6) AS accuracy_above,
+round(avg((y_true = pred)::INT) FILTER (confidence < t), 6) AS accuracy_below
+FROM facts CROSS JOIN grid GROUP BY t""",
     )
     sql["threshold_change"] = _with(
         _DECIDED,

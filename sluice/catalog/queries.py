@@ -806,6 +806,19 @@ def cascade_quality(spark, d):
     )
 
 
+@query
+def validation_sweep(spark, d):
+    """Coverage and accuracy by threshold on the validation groups, which
+    neither the model nor the test side has seen: where to choose it."""
+    run = fx.training(spark, d, validation_share=0.2)
+    stages = cascade.run_stages(fx.reports(spark, d), run.model, StageStore(spark))
+    seen = run.part("validation").select("report_id", F.col("label").alias("y_true"))
+    facts = seen.join(stages.decisions.select("report_id", F.round("score", 6).alias("confidence")), "report_id")
+    decided = stages.decisions.select("report_id", F.col("hybrid_label").alias("pred"))
+    table = ev.threshold_sweep(facts, decided, 20)
+    return _rounded(table, "threshold", "coverage", "accuracy_above", "accuracy_below")
+
+
 @query
 def threshold_change(spark, d):
     _, _, _, stages = _stages(spark, d)
