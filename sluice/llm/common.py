@@ -41,7 +41,7 @@ def back_to_ids(ids: np.ndarray) -> pa.Array:
 class WordHashes(dict):
     """Word -> 64-bit hash, filled on demand by each worker, bounded."""
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.llm.decontaminate import contained_items
+from sluice.llm.exact_dedup import decisions
+from sluice.llm.simhash import near_duplicates
 from sluice.llm.substring_dedup import removed_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +47,47 @@ g AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
 sha256(array_to_string(list_filter(w, lambda v, k: NOT list_contains(coalesce(gone, []), k)), ' ')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)"""
+
+
+@query
+def op6_exact_dedup(spark, sf_dir):
+    return decisions(documents(spark, sf_dir)).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+ORACLES["op6_exact_dedup"] = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+doc_id = max(doc_id) OVER g AS kept, text_sha256
+FROM d WINDOW g AS (PARTITION BY text_sha256)"""
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+@query
+def op10_benchmark_decontamination(spark, sf_dir):
+    return contained_items(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+_SHINGLES = """SELECT DISTINCT {id}, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ')
+ELSE array_to_string(w[i:i + 4], ' ') END AS s FROM (SELECT {id}, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i
+FROM (SELECT {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}) WHERE len(w) > 0)"""
+ORACLES["op10_benchmark_decontamination"] = f"""
+WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
+b AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS matched FROM d JOIN b USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, matched, item_shingles, matched / item_shingles AS containment
+FROM m JOIN n USING (item_id) WHERE matched >= 0.8 * item_shingles"""
+
+
+@query
+def op8_simhash_near_dedup(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir)).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )

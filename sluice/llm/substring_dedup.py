@@ -38,8 +38,8 @@ from sluice.llm.common import (
     text_bytes,
 )
 
-PART_BYTES = 8 << 20
-BUCKET_BYTES = 12 << 20
+PART_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 _WORDS = WordHashes()
 
 _BLOCKS = "part int, bucket int, n int, hashes binary, ids binary"
