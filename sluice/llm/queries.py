@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.llm import quality
 from sluice.llm.decontaminate import contained_items
 from sluice.llm.exact_dedup import decisions
+from sluice.llm.packing import packed_documents
+from sluice.llm.secrets import as_text, count_of, secret_spans
+from sluice.llm.sharding import sharded
 from sluice.llm.simhash import near_duplicates
 from sluice.llm.substring_dedup import removed_windows
+from sluice.llm.token_counts import token_counts
+from sluice.llm.token_files import read_tokens, write_tokens
+from sluice.llm.tokens import vocabulary_size
+from sluice.session import StageStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +100,59 @@ def op8_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir)).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query
+def op2_token_files(spark, sf_dir):
+    path = StageStore(spark).path("token_files")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    write_tokens(documents(spark, sf_dir), path, tokenizer, vocabulary_size(tokenizer), end_id=1)
+    return read_tokens(spark, path)
+
+
+@query
+def op3_sharding(spark, sf_dir):
+    """The law `key`, over 40 shards of equal weight."""
+    text = F.coalesce("text", F.lit(""))
+    records = documents(spark, sf_dir).select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    return sharded(records, "doc_id", [1.0] * 40).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    )
+
+
+@query
+def op4_best_fit_packing(spark, sf_dir):
+    return packed_documents(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0
+    )
+
+
+@query
+def op5_token_counts(spark, sf_dir):
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        "doc_id", F.col("quality").alias("label")
+    )
+
+
+@query
+def op7_quality_classifier(spark, sf_dir):
+    stats = quality.text_statistics(documents(spark, sf_dir))
+    return quality.scored(stats, quality.fit(stats, quality_labels(spark, sf_dir)))
+
+
+@query
+def op9_secret_scan(spark, sf_dir):
+    return secret_spans(documents(spark, sf_dir)).select(
+        "doc_id",
+        *[count_of("base", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(as_text("base"), 256).alias("base_sha256"),
+        as_text("spans").alias("spans"),
+    )

@@ -16,6 +16,7 @@ are taken in one piece, one text at a time. Other columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -86,12 +87,15 @@ class _Lookup:
         ]
 
 
-@lru_cache(maxsize=1)
-def _lookup(path: str, broadcast_id: int, cached: int) -> _Lookup:
-    return _Lookup(path, _TABLES[broadcast_id].value, cached)
+_LOOKUPS: dict[str, _Lookup] = {}
 
 
-_TABLES: dict = {}
+def _lookup(key: str, path: str, table, cached: int) -> _Lookup:
+    """The lookup of this run, one for each worker; earlier runs' are dropped."""
+    if key not in _LOOKUPS:
+        _LOOKUPS.clear()
+        _LOOKUPS[key] = _Lookup(path, table.value, cached)
+    return _LOOKUPS[key]
 
 
 def token_counts(
@@ -110,11 +114,10 @@ def token_counts(
         dict(zip(common, lengths(_model(model_path), common)))
     )
 
-    def count(batches):
-        from sluice.llm import token_counts as here
+    key = uuid.uuid4().hex
 
-        here._TABLES[table.id] = table
-        lookup = here._lookup(model_path, table.id, cached)
+    def count(batches):
+        lookup = _lookup(key, model_path, table, cached)
         for batch in batches:
             texts = byte_texts(batch.column("text"))
             counts = [n for a, b in slices(texts, 4 << 20) for n in lookup.counts(texts[a:b])]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import byte_texts, slices
-from sluice.llm.tokens import chunk_encoder
+from sluice.llm.tokens import text_encoder
 
 BLOCK = 65_536
 _BLOCKS = (
@@ -93,7 +93,7 @@ def write_tokens(
     sorted_docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def blocks(batches):
-        encoder = chunk_encoder(tokenizer, spaced)
+        encoder = text_encoder(tokenizer, spaced)
         file = TaskContext.get().partitionId()
         number, place = 0, 0
         ids: list[int | None] = []

@@ -1,28 +1,31 @@
-"""Encoding by public tokenizers through bounded caches of text chunks.
-
-A chunk never begins inside a pre-token, so the ids of a text are those of its
-chunks in a row (the tests hold this against whole texts). Files of a tokenizer
-are opened by path on each executor; none of them is trained or copied.
+"""Encoding by public tokenizers through a bounded cache of pre-tokens.
+
+The two byte-pair tokenizers cut a text into pre-tokens and encode each alone,
+so the ids of a text are those of its pre-tokens in a row. Texts whose other
+than ASCII characters are all letters are cut here by byte patterns; any other
+text, and one that may hold a special token, is encoded whole by the library.
+The tests hold both ways against the library on whole texts. Tokenizer files are
+opened by path on each executor; none is trained or copied.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import string
+from array import array
 from functools import lru_cache
 
-import numpy as np
+import regex
 
-CACHED = 400_000
-# White space outside ASCII (and the separators Python counts as such). Texts
-# that hold any are encoded whole.
-_RARE_SPACE = re.compile(
-    rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+CACHED = 300_000
+# The pre-token patterns of the two tokenizers (with white space
+# kept and dropped), for bytes: \x80-\xff are parts of letters.
+_KEPT = re.compile(
+    rb"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[^A-Za-z0-9\x80-\xff\s]+|\s+(?!\S)|\s+"
 )
-_SPECIAL = b"<|"  # how special tokens begin, which may hold punctuation and case
-_PUNCTUATION = string.punctuation.encode()
-_SPACED = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+_DROPPED = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff\s]+")
+_NO_LETTER = regex.compile(r"[^\x00-\x7f\p{L}]")
+_SPECIAL = b"<|"  # how special tokens begin
 
 
 @lru_cache(maxsize=2)
@@ -37,68 +40,54 @@ def vocabulary_size(path: str) -> int:
     return _tokenizer(path).get_vocab_size(with_added_tokens=True)
 
 
-class ChunkEncoder:
+class TextEncoder:
     """Text (UTF-8 bytes) -> ids as little-endian uint32 bytes, without added
-    special tokens. spaced: the tokenizer keeps white space, which it glues to
-    the word that follows; otherwise it drops white space and lower-cases."""
+    special tokens. spaced: the tokenizer keeps white space and glues it to the
+    word that follows; otherwise it drops white space and lower-cases."""
 
     def __init__(self, path: str, spaced: bool, cached: int = CACHED) -> None:
         self.path, self.spaced, self.cached = path, spaced, cached
-        self.cache: dict[bytes, bytes] = {}  # chunks
-        self.parts: dict[bytes, bytes] = {}  # words and punctuation, kept longer
-
-    def _chunks(self, text: bytes) -> list[bytes]:
-        if not self.spaced:
-            return (text if _SPECIAL in text else text.lower()).split()
-        return [text] if _RARE_SPACE.search(text) else _SPACED.findall(text)
-
-    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of chunks, which then are in the cache. A word and the punctuation
-        behind it are pre-tokens of their own and looked up one by one."""
-        parts = {c: _parts(c) for c in chunks}
-        new = list({p for both in parts.values() for p in both}.difference(self.parts))
-        if len(self.parts) + len(new) > self.cached:
-            self.parts.clear()
-            new = list({p for both in parts.values() for p in both})
-        found = _tokenizer(self.path).encode_batch_fast(
-            [c.decode("utf-8", "replace") for c in new], add_special_tokens=False
-        )
-        self.parts.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, found))
-        if len(self.cache) + len(chunks) > self.cached // 2:
-            self.cache.clear()
-        look = self.parts.__getitem__
-        fresh = {c: b"".join(map(look, both)) for c, both in parts.items()}
-        self.cache.update(fresh)
+        # Two generations: what is used again moves on, the rest is forgotten.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _pre_tokens(self, text: bytes) -> list[bytes] | None:
+        if _SPECIAL in text or (not text.isascii() and _NO_LETTER.search(text.decode("utf-8", "replace"))):
+            return None
+        return _KEPT.findall(text) if self.spaced else _DROPPED.findall(text.lower())
+
+    def _by_library(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.decode("utf-8", "replace") for t in texts]
+        found = _tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _learn(self, unknown: set[bytes]) -> dict[bytes, bytes]:
+        fresh = {c: self.old[c] for c in unknown if c in self.old}
+        new = [c for c in unknown if c not in fresh]
+        fresh.update(zip(new, self._by_library(new)))
+        if len(self.young) + len(fresh) > self.cached:
+            self.old, self.young = self.young, {}
+        self.young.update(fresh)
         return fresh
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        chunked = [self._chunks(t) for t in texts]
-        found = [list(map(self.cache.get, chunks)) for chunks in chunked]
+        cut = [self._pre_tokens(t) for t in texts]
+        found = [c and list(map(self.young.get, c)) for c in cut]
         unknown = {
-            c for chunks, ids in zip(chunked, found) if None in ids
-            for c, known in zip(chunks, ids) if known is None
+            p for c, ids in zip(cut, found) if ids and None in ids
+            for p, known in zip(c, ids) if known is None
         }
-        if not unknown:
-            return list(map(b"".join, found))
-        fresh = self._learn(unknown)
+        fresh = self._learn(unknown) if unknown else {}
+        whole = iter(self._by_library([t for t, c in zip(texts, cut) if c is None]))
         return [
-            b"".join([fresh[c] if known is None else known for c, known in zip(chunks, ids)])
-            if None in ids
-            else b"".join(ids)
-            for chunks, ids in zip(chunked, found)
-        ]
-
-
-def _parts(chunk: bytes) -> tuple[bytes, ...]:
-    word = chunk.rstrip(_PUNCTUATION)
-    if not word or len(word) == len(chunk) or _SPECIAL in chunk:
-        return (chunk,)
-    if not (word[-1:].isalnum() or word[-4:].decode("utf-8", "ignore")[-1:].isalnum()):
-        return (chunk,)
-    return word, chunk[len(word) :]
+            next(whole) if ids is None
+            else b"".join(ids) if None not in ids
+            else b"".join([fresh[p] if known is None else known for p, known in zip(c, ids)])
+            for c, ids in zip(cut, found)
+        ]
 
 
 @lru_cache(maxsize=2)
-def chunk_encoder(path: str, spaced: bool) -> ChunkEncoder:
+def text_encoder(path: str, spaced: bool) -> TextEncoder:
     """One encoder, and so one cache, for each worker."""
-    return ChunkEncoder(path, spaced)
+    return TextEncoder(path, spaced)
