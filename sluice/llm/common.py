@@ -109,6 +109,12 @@ def numbered(df: DataFrame, key: str, sub: F.Column, splits: int, out: str, spar
     )
 
 
+def rank_parts(rows: float) -> int:
+    """Hash parts that numbered() ranks a key in: some 20,000 rows each if all
+    rows had one key, and few enough that their counts stay small."""
+    return min(4096, max(64, math.ceil(rows / 20_000)))
+
+
 def slices(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
     """Runs of texts of about `most` bytes, so that arrays stay small."""
     start, held = 0, 0

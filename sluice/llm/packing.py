@@ -31,11 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import byte_texts, numbered, pieces, slices, stage
+from sluice.llm.common import byte_texts, numbered, rank_parts, slices, stage
 from sluice.llm.tokens import text_encoder
 
 TOKENS = 2048
-RANKED_TOGETHER = 100_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -149,7 +148,7 @@ def pack(pieces_of: DataFrame, capacity: Capacities = Capacities()) -> DataFrame
     order = np.lexsort((rows[:, 1], rows[:, 0]))
     rows = rows[order]
     sent = spark.sparkContext.broadcast(rows)
-    splits = pieces(total, RANKED_TOGETHER)
+    splits = rank_parts(total)
     ranked = numbered(
         pieces_of, "length", F.xxhash64("doc_id", "piece", "ids_crc32"), splits, "rank", spark
     )

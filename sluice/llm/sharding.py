@@ -18,9 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import numbered, pieces
+from sluice.llm.common import numbered, rank_parts
 
-RANKED_TOGETHER = 100_000
 _RESOLUTION = 1 << 53
 
 
@@ -51,7 +50,7 @@ def sharded(records: DataFrame, key: str, weights: Sequence[float]) -> DataFrame
     placed = records.withColumn("shard", shard_of(name, weights)).withColumn(
         "grown_shard", shard_of(name, [*weights, mean])
     )
-    splits = pieces(records.count() / len(weights), RANKED_TOGETHER, 4)
+    splits = rank_parts(records.count())
     spread = F.xxhash64(*[c for c in records.columns])
     return numbered(placed, "shard", spread, splits, "slot", records.sparkSession)
 
