@@ -10,8 +10,7 @@ from sluice.plans.training import Training, train
 from sluice.session import StageStore
 from sluice.sources.reports import read_reports, spread_small
 
-# The reference's values, but every window of a text is scored.
-PARAMS = CascadeParams(max_windows=None)
+PARAMS = CascadeParams()
 BASELINE = "base"
 # Fixed test anchors that occur in the given documents.
 ANCHORS = ("license", "the ", "de ")

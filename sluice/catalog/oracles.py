@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sluice.catalog.fixtures import ANCHORS, PARAMS
 from sluice.functions.text import WORD_PATTERN
-from sluice.params import CascadeParams
+from sluice.params import REFERENCE_WINDOWS
 
 P = PARAMS
 T = P.threshold
@@ -232,8 +232,8 @@ _WINDOWED = """count(*) AS total_requests,
 count(*) FILTER (routed_to = 'hybrid') AS routed_to_hybrid,
 count(*) FILTER (reliability = 'low') AS low_reliability_count,
 round(avg(latency_ms), 2) AS avg_latency_ms, round(avg(routing_score), 4) AS avg_routing_score,
-round(quantile_disc(latency_ms, 0.5), 2) AS p50_latency_ms,
-round(quantile_disc(latency_ms, 0.95), 2) AS p95_latency_ms"""
+round(quantile_cont(latency_ms, 0.5), 2) AS p50_latency_ms,
+round(quantile_cont(latency_ms, 0.95), 2) AS p95_latency_ms"""
 
 _NAMES = "map {'en': 'English', 'fr': 'French', 'de': 'German'}"
 _RAW = """SELECT doc_id AS report_id, CASE doc_id % 7
@@ -379,7 +379,7 @@ FROM unit GROUP BY report_id""",
         "SELECT report_id, chunk_index, len(tok) AS n_tokens, md5(array_to_string(tok, ' ')) AS digest FROM windows",
     )
     sql["token_windows_reference_cap"] = _with(
-        _scored(CascadeParams().max_windows),
+        _scored(REFERENCE_WINDOWS),
         "SELECT report_id, chunk_index, len(tok) AS n_tokens FROM windows",
     )
     reach = P.window_tokens + 11 * STEP
@@ -497,9 +497,57 @@ FROM documents WHERE (doc_id * 37 % 100) / 100.0::DOUBLE < {T}::DOUBLE"""
 'high' AS reliability, candidates AS top_k_candidates FROM routed JOIN cand_lists USING (report_id)""",
     )
     sql["classify_reference_cap"] = _with(
-        _routed(_decided(_scored(CascadeParams().max_windows))),
+        _routed(_decided(_scored(REFERENCE_WINDOWS))),
         "SELECT report_id, prediction, routed_to FROM routed",
     )
+    repeats = "(report_id % 3 = 0)::INT"
+    sql["classify_repeated"] = _with(
+        {**_ROUTED, "outcomes": f"""SELECT report_id, prediction AS outcome, 1 + {repeats} AS n FROM routed WHERE report_id % 7 <> 1
+UNION ALL SELECT report_id, 'ambiguous_id', 2 + {repeats} FROM good WHERE report_id % 7 = 1
+UNION ALL SELECT report_id, CASE WHEN text IS NULL THEN 'missing' WHEN length(text) < 20 THEN 'too_short' ELSE 'blank' END, 1 + {repeats}
+FROM reports WHERE report_id NOT IN (SELECT report_id FROM good)"""},
+        "SELECT report_id, outcome FROM (SELECT report_id, outcome, unnest(range(0, n)) FROM outcomes)",
+    )
+    own = {
+        **_DECIDED,
+        "cands": """SELECT report_id, unnest(l) AS label, unnest(range(1, len(l) + 1)) AS rank
+FROM (SELECT report_id, CASE WHEN report_id % 2 = 0 THEN ['EN-1', 'XX-9', 'FR-1'] ELSE ['DE-1', 'XX-9'] END AS l FROM reports)""",
+        "chosen": """SELECT w.report_id, w.chunk_index, c.label, c.rank, coalesce(s.score, 0) AS score,
+max(coalesce(s.score, 0)) OVER (PARTITION BY w.report_id, w.chunk_index) AS top
+FROM windows w JOIN cands c USING (report_id) LEFT JOIN scores s
+ON s.report_id = w.report_id AND s.chunk_index = w.chunk_index AND s.label = c.label""",
+    }
+    sql["classify_own_candidates"] = _with(_routed(own), "SELECT report_id, prediction, routed_to FROM routed")
+    sql["scorer_errors"] = _with(
+        {**_ROUTED, "lasts": "SELECT report_id, max_by(label, rank) AS label FROM cands GROUP BY report_id"},
+        f"""SELECT r.report_id, CASE WHEN r.score >= {T}::DOUBLE THEN r.prediction
+WHEN length(t.text) % 5 = 0 THEN 'scorer: ValueError: refused' ELSE l.label END AS outcome
+FROM routed r JOIN reports t USING (report_id) JOIN lasts l USING (report_id)
+UNION ALL SELECT report_id, CASE WHEN text IS NULL THEN 'missing' WHEN length(text) < 20 THEN 'too_short' ELSE 'blank' END
+FROM reports WHERE report_id NOT IN (SELECT report_id FROM good)""",
+    )
+    held = {**_SPLIT_PARTS, "held": "SELECT report_id, label FROM split_rows WHERE split = 'test'"}
+    sql["logistic_regression"] = _with(
+        held, "SELECT report_id, true AS sums_to_one, true AS is_best, true AS is_optimal FROM held"
+    )
+    sql["linear_svm"] = _with(
+        {**held, "classes": "SELECT count(DISTINCT label)::INT AS n_scores FROM split_rows WHERE split = 'train'"},
+        "SELECT report_id, n_scores, true AS is_best FROM held CROSS JOIN classes",
+    )
+    sql["calibrated_svm"] = _with(
+        held, "SELECT report_id, true AS sums_to_one, true AS is_best, true AS ranks_by_score FROM held"
+    )
+    sql["holdout_scores"] = _with(
+        held,
+        """SELECT unnest(['logistic', 'calibrated_svm']) AS model, n, true AS beats_largest_class, true AS has_macro_f1,
+true AS has_weighted_f1 FROM (SELECT count(*) AS n FROM held)""",
+    )
+    sql["saved_svm_round_trip"] = _with(held, "SELECT 3 * count(*) AS n_rows, 0::BIGINT AS n_different FROM held")
+    sql["classify_svm"] = _with(
+        {"reports": _REPORTS},
+        """SELECT report_id, true AS ranks_by_svm, true AS is_candidate FROM reports
+WHERE length(text) >= 20 AND regexp_matches(text, '\\S')""",
+    )
     sql["batch_totals"] = """SELECT count(*) AS total, count(*) FILTER (length(text) >= 20 AND regexp_matches(text, '\\S')) AS succeeded,
 count(*) FILTER (text IS NULL OR length(text) < 20 OR NOT regexp_matches(text, '\\S')) AS failed FROM documents"""
     sql["cascade_quality"] = _with(
@@ -651,16 +699,13 @@ FROM joined CROSS JOIN grid WHERE model <> 'base' GROUP BY model, t""",
         _ROUTED, f"SELECT {_ID} AS id, prediction, routed_to, 'high' AS reliability FROM routed"
     )
     sql["stream_unique_predictions"] = _with({"log": _LOG}, "SELECT id, routed_to, reliability FROM log")
-    edge = "(SELECT max(created_at) FROM log) - INTERVAL 1 HOUR"
     sql["stream_daily_metrics"] = _with(
         {"log": _LOG, "days": "SELECT *, date_trunc('day', created_at)::TIMESTAMP AS w FROM log"},
-        f"""SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, {_WINDOWED} FROM days
-WHERE w + INTERVAL 1 DAY <= {edge} GROUP BY w""",
+        f"""SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, {_WINDOWED} FROM days GROUP BY w""",
     )
     sql["stream_sliding_metrics"] = _with(
         {"log": _LOG,
          "slides": """SELECT *, time_bucket(INTERVAL 6 HOUR, created_at) - unnest([0, 1, 2, 3]) * INTERVAL 6 HOUR AS w FROM log"""},
-        f"""SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, {_WINDOWED} FROM slides
-WHERE w + INTERVAL 1 DAY <= {edge} GROUP BY w""",
+        f"""SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, {_WINDOWED} FROM slides GROUP BY w""",
     )
     return sql

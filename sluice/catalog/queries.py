@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +17,11 @@ from sluice.operators import joins, linear_models, metrics, routing, scorers, sp
 from sluice.operators import vectors as vec
 from sluice.operators import vocabulary as voc
 from sluice.operators import windows as win
-from sluice.params import CascadeParams
+from sluice.params import REFERENCE_WINDOWS, CascadeParams
 from sluice.plans import cascade
 from sluice.session import StageStore
 from sluice.sources import evaluation_store, labels, prediction_log
 from sluice.sources import reports as report_files
-from sluice.sources.reports import spread_small
 from sluice.streaming import classify as stream_classify
 from sluice.streaming import metrics as stream_metrics
 
@@ -74,7 +73,10 @@ def _dimension(spark, d) -> DataFrame:
 
 
 def _names(spark, d) -> dict[str, str]:
-    return {r.code: r.name for r in _dimension(spark, d).limit(P.max_labels).collect()}
+    rows = _dimension(spark, d).limit(P.max_labels + 1).collect()
+    if len(rows) > P.max_labels:
+        raise ValueError(f"more than {P.max_labels} classes")
+    return {r.code: r.name for r in rows}
 
 
 @query
@@ -406,7 +408,7 @@ def term_statistics(spark, d):
 
 def _vocabulary(spark, d, max_features=P.max_features) -> DataFrame:
     documents = voc.report_terms(fx.reports(spark, d), P)
-    params = CascadeParams(max_windows=None, max_features=max_features)
+    params = CascadeParams(max_features=max_features)
     return voc.fit_vocabulary(documents, params, StageStore(spark))
 
 
@@ -464,7 +466,7 @@ def token_windows(spark, d):
 @query
 def token_windows_reference_cap(spark, d):
     """The window cap itself is the feature: at most 12 windows a report."""
-    capped = win.report_windows(fx.reports(spark, d), CascadeParams())
+    capped = win.report_windows(fx.reports(spark, d), CascadeParams(max_windows=REFERENCE_WINDOWS))
     return capped.select("report_id", "chunk_index", F.size("tokens").alias("n_tokens"))
 
 
@@ -547,87 +549,175 @@ def candidate_recall(spark, d):
     return cand.candidate_recall(found, held_out, P.top_k).select("k", F.round("recall", 6).alias("recall"))
 
 
-# Fits iterate many times over the vectors; a smaller vocabulary keeps the
-# local run short. All training reports take part.
-_FIT = CascadeParams(max_windows=None, max_features=2_000, ngram_max=1)
-
-
 def _fit_vectors(spark, d):
-    """Vectors of the split corpus with the language as class."""
-    corpus = fx.reports(spark, d).join(
-        fx.table(spark, d, "documents").select(F.col("doc_id").alias("report_id"), F.upper("lang").alias("label")),
-        "report_id",
-    )
+    """Vectors of the split corpus, language and quality as class, over the
+    whole vocabulary of its training side."""
     store = StageStore(spark)
-    parts = spread_small(
-        store.put("corpus", splits.group_split(corpus, "group_id", P.test_share, P.seed))
-    )
-    documents = voc.report_terms(parts, _FIT, "label", "split")
+    parts = store.put("corpus", _split(spark, d))
+    documents = voc.report_terms(parts, P, "label", "split")
     trained = documents.filter(F.col("split") == "train")
-    vocab = store.put("vocabulary", voc.fit_vocabulary(trained, _FIT, store))
-    vectors = vec.vectorizer(vocab, _FIT).transform(documents)
-    return store.put("vectors", vectors.select("report_id", "label", "split", "tfidf"))
+    vocab = store.put("vocabulary", voc.fit_vocabulary(trained, P, store))
+    vectorizer = vec.vectorizer(vocab, P)
+    vectors = vectorizer.transform(documents)
+    return store.put("vectors", vectors.select("report_id", "label", "split", "tfidf")), vectorizer
 
 
 def _sides(vectors):
     return vectors.filter(F.col("split") == "train"), vectors.filter(F.col("split") == "test")
 
 
+def _is_one(total) -> F.Column:
+    return F.abs(total - 1.0) < 1e-9
+
+
+def _sum(array) -> F.Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
+
+
+def _best_label(labels, array) -> F.Column:
+    names = F.array(*[F.lit(x) for x in labels])
+    return F.element_at(names, F.array_position(array, F.array_max(array)).cast("int"))
+
+
 @query
 def logistic_regression(spark, d):
-    trained, held_out = _sides(_fit_vectors(spark, d))
-    model = linear_models.fit_logistic(trained, max_iter=100)
+    """Every held-out report: probabilities add up to 1, the prediction is the
+    best of them, and the fit has reached the optimum of its objective."""
+    trained, held_out = _sides(_fit_vectors(spark, d)[0])
+    model = linear_models.fit_logistic(trained)
+    gradient = linear_models.logistic_gradient(model, trained)
     return model.transform(held_out).select(
-        "report_id", "prediction", F.round("best_probability", 4).alias("best_probability")
+        "report_id",
+        _is_one(_sum("probability")).alias("sums_to_one"),
+        (F.col("prediction") == _best_label(model.labels, F.col("probability"))).alias("is_best"),
+        F.lit(gradient < 1e-4).alias("is_optimal"),
     )
 
 
 @query
 def linear_svm(spark, d):
-    trained, held_out = _sides(_fit_vectors(spark, d))
-    model = linear_models.fit_svm(trained, max_iter=20)
-    return cand.hard_prediction(model.scores(held_out), model.labels, P.tie_decimals)
+    """Every held-out report: one decision value a class, the best is predicted."""
+    trained, held_out = _sides(_fit_vectors(spark, d)[0])
+    model = linear_models.fit_svm(trained)
+    scores = StageStore(spark).put("scores", model.scores(held_out))
+    decided = cand.hard_prediction(scores, model.labels, P.tie_decimals)
+    rounded = F.transform("scores", lambda s: F.round(s, P.tie_decimals))
+    return scores.join(decided, "report_id").select(
+        "report_id",
+        F.size("scores").alias("n_scores"),
+        (F.col("prediction") == _best_label(model.labels, rounded)).alias("is_best"),
+    )
+
+
+def _calibrated(spark, d, with_full=False):
+    vectors, vectorizer = _fit_vectors(spark, d)
+    trained, held_out = _sides(vectors)
+    folded = StageStore(spark).put("folds", splits.stratified_folds(trained, 5, seed=P.seed))
+    return linear_models.fit_calibrated(folded, with_full=with_full), trained, held_out, vectorizer
 
 
 @query
 def calibrated_svm(spark, d):
-    """Sigmoid calibration over 5 folds, with the first fold's raw scores as
-    candidate ranking, as in the reference."""
-    trained, held_out = _sides(_fit_vectors(spark, d))
-    folded = StageStore(spark).put("folds", splits.stratified_folds(trained, 5, seed=P.seed))
-    model = linear_models.fit_calibrated(folded, max_iter=10)
+    """Sigmoid calibration over 5 folds: probabilities add up to 1, the best is
+    predicted, candidates rank by the first fold's raw scores."""
+    model, _, held_out, _ = _calibrated(spark, d)
+    store = StageStore(spark)
     probable = model.transform(held_out)
-    ranked = cand.top_candidates(model.decision_scores(held_out), model.labels, 3, P.tie_decimals)
-    return probable.join(ranked, "report_id").select(
+    scores = store.put("scores", model.decision_scores(held_out))
+    ranked = model.candidates(held_out, 3, P.tie_decimals)
+    order = cand.pick(cand.label_array(model.labels), cand.ranked_indices(F.col("scores"), 3, P.tie_decimals))
+    return probable.join(ranked, "report_id").join(scores, "report_id").select(
         "report_id",
-        "prediction",
-        F.round("best_probability", 4).alias("best_probability"),
-        answers.encode_candidates(F.col("candidates")).alias("candidates"),
+        _is_one(_sum("probability")).alias("sums_to_one"),
+        (F.col("prediction") == _best_label(model.labels, F.col("probability"))).alias("is_best"),
+        (F.col("candidates") == order).alias("ranks_by_score"),
     )
 
 
 @query
 def holdout_scores(spark, d):
-    """Accuracy, macro and weighted F1 of the logistic model on the test side."""
-    trained, held_out = _sides(_fit_vectors(spark, d))
-    model = linear_models.fit_logistic(trained, max_iter=100)
-    counts = linear_models.holdout_scores(
-        model.transform(held_out), held_out.select("report_id", "label"), "logistic"
+    """Both fitted models on the test side: rows, and whether accuracy, macro
+    and weighted F1 are those of a model that has learnt (above the share of
+    the largest class)."""
+    model, trained, held_out, _ = _calibrated(spark, d)
+    truth = held_out.select("report_id", "label")
+    logistic = linear_models.fit_logistic(trained)
+    counts = linear_models.holdout_scores(logistic.transform(held_out), truth, "logistic").unionByName(
+        linear_models.holdout_scores(model.transform(held_out), truth, "calibrated_svm")
     )
+    counts = StageStore(spark).put("counts", counts)
+    largest = truth.groupBy("label").count().agg(F.max("count")).first()[0]
     table = ev.accuracy(counts, "model").join(ev.f1_scores(counts, "model"), "model")
-    return table.select("model", "n", *[F.round(c, 4).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")])
+    return table.select(
+        "model",
+        "n",
+        (F.col("accuracy") * F.col("n") > largest).alias("beats_largest_class"),
+        F.col("macro_f1").between(0.3, 1.0).alias("has_macro_f1"),
+        F.col("weighted_f1").between(0.5, 1.0).alias("has_weighted_f1"),
+    )
+
+
+@query
+def saved_svm_round_trip(spark, d):
+    """Save and load the calibrated SVM and the logistic model, score every
+    held-out report with both, count differing rows."""
+    model, trained, held_out, _ = _calibrated(spark, d, with_full=True)
+    logistic = linear_models.fit_logistic(trained)
+    path = StageStore(spark).path("models")
+    model.save(f"{path}/svm")
+    logistic.save(f"{path}/logistic")
+    again = linear_models.CalibratedSvm.load(spark, f"{path}/svm")
+    pairs = [
+        (model.transform(held_out), again.transform(held_out)),
+        (
+            logistic.transform(held_out),
+            linear_models.Logistic.load(spark, f"{path}/logistic").transform(held_out),
+        ),
+        (
+            cand.hard_prediction(model.decision_scores(held_out, "full"), model.labels, P.tie_decimals),
+            cand.hard_prediction(again.decision_scores(held_out, "full"), again.labels, P.tie_decimals),
+        ),
+    ]
+    rows = None
+    for before, after in pairs:
+        both = before.select("report_id", "prediction").join(
+            after.select("report_id", F.col("prediction").alias("reloaded")), "report_id", "left"
+        )
+        rows = both if rows is None else rows.unionByName(both)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~F.col("prediction").eqNullSafe(F.col("reloaded"))).alias("n_different"),
+    )
+
+
+@query
+def classify_svm(spark, d):
+    """The cascade with the calibrated SVM as Stage 1: its candidates are the
+    SVM's own best classes, in order, and the answer is one of them."""
+    model, _, _, vectorizer = _calibrated(spark, d)
+
+    def stage1(reports):
+        documents = voc.report_terms(reports, P)
+        return model.candidates(vectorizer.transform(documents), P.top_k, P.tie_decimals)
+
+    rows = fx.reports(spark, d)
+    done = cascade.classify(rows, fx.training(spark, d).model, StageStore(spark), stage1=stage1)
+    own = stage1(rows).withColumnRenamed("candidates", "own")
+    return done.results.join(own, "report_id").select(
+        "report_id",
+        (F.col("top_k_candidates") == F.col("own")).alias("ranks_by_svm"),
+        F.array_contains("top_k_candidates", F.col("prediction")).alias("is_candidate"),
+    )
 
 
 @query
 def vector_centroids(spark, d):
-    """The centroid operator on ready-made dense vectors."""
+    """The centroid operator on ready-made dense vectors: entries that are not 0."""
     vectors = fx.table(spark, d, "embeddings").select(
         F.col("label").cast("string").alias("label"),
         array_to_vector(F.col("embedding").cast("array<double>")).alias("tfidf"),
     )
-    rows = cen.class_centroids(vectors).select(
-        "label", "n_rows", F.posexplode(vector_to_array("centroid")).alias("pos", "w")
-    )
+    rows = cen.class_centroids(vectors).withColumnRenamed("idx", "pos")
     return rows.select("label", "n_rows", "pos", (F.round("w", 4) + 0.0).alias("w"))
 
 
@@ -684,21 +774,24 @@ def explanations(spark, d):
     )
 
 
+def _code_scorer(windows):
+    def hits(label):
+        code = F.lower(F.substring_index(label, "-", 1))
+        return F.size(F.filter("tokens", lambda t: t == code)).cast("double")
+
+    scored = F.transform(
+        "candidates", lambda c: F.struct(c.alias("label"), hits(c).alias("raw_score"))
+    )
+    rows = windows.select("report_id", "chunk_index", scored.alias("s"))
+    return rows.select("report_id", "chunk_index", F.inline_outer("s"))
+
+
 @query
 def own_window_scorer(spark, d):
     """A caller's window scorer: how often the candidate's language code
     occurs among the window's words."""
     _, found = _candidates(spark, d)
-    windows = win.report_windows(fx.reports(spark, d), P)
-    pairs = win.window_candidates(windows, found)
-    code = F.lower(F.substring_index("label", "-", 1))
-    hits = F.size(F.filter("tokens", lambda t: t == F.col("code")))
-    rows = (
-        pairs.withColumn("code", code)
-        .join(windows, ["report_id", "chunk_index"])
-        .select("report_id", "chunk_index", "label", hits.cast("double").alias("raw_score"))
-    )
-    evidence = win.evidence_from_rows(rows, found, 1.0, P.tie_decimals)
+    evidence = win.own_evidence(fx.reports(spark, d), found, _code_scorer, P)
     return evidence.select("report_id", "chunk_index", "top_label", F.round("score", 4).alias("score"))
 
 
@@ -726,7 +819,7 @@ def fallback_window_mean(spark, d):
 def fallback_focused_text(spark, d):
     run, store, rows, stages = _stages(spark, d)
     _, low = routing.split_by_threshold(stages.decisions, THRESHOLD)
-    scorer = scorers.focused(fx.ANCHORS)(scorers.Context(run.model, stages.evidence))
+    scorer = scorers.focused(fx.ANCHORS, 2000)(scorers.Context(run.model, stages.evidence))
     asked = low.join(rows.select("report_id", "text"), "report_id")
     return routing.fallback_answers(asked, scorer, P.retries, store).select("report_id", "answer", "was_valid")
 
@@ -743,7 +836,7 @@ def fallback_retry(spark, d):
             "report_id", F.coalesce(again, "raw").alias("raw")
         )
 
-    return routing.fallback_answers(low, scorer, P.retries, StageStore(spark))
+    return routing.fallback_answers(low, scorer, P.retries, StageStore(spark)).drop("error")
 
 
 @query
@@ -756,7 +849,7 @@ def python_scorer(spark, d):
     upper = F.transform("candidates", lambda c: F.upper(c))
     rows = base.join(fx.reports(spark, d).select("report_id", "text"), "report_id").withColumn("candidates", upper)
     _, low = routing.split_by_threshold(rows, THRESHOLD)
-    scorer = scorers.python_scorer(answer, "bigint")
+    scorer = scorers.python_scorer(answer)
     return routing.fallback_answers(low, scorer, P.retries, StageStore(spark)).select("report_id", "answer")
 
 
@@ -779,11 +872,57 @@ def classify_reports(spark, d):
 @query
 def classify_reference_cap(spark, d):
     """The cascade with the reference's own cap of 12 windows a report."""
-    model = fx.training(spark, d, CascadeParams()).model
+    model = fx.training(spark, d, CascadeParams(max_windows=REFERENCE_WINDOWS)).model
     done = cascade.classify(fx.reports(spark, d), model, StageStore(spark))
     return done.results.select("report_id", "prediction", "routed_to")
 
 
+@query
+def classify_repeated(spark, d):
+    """A third of the reports twice, a seventh with a second text under the
+    same id: every row is answered or rejected with a reason."""
+    rows = fx.reports(spark, d).select("report_id", "text")
+    again = rows.filter("report_id % 3 = 0")
+    other = rows.filter("report_id % 7 = 1 and length(text) >= 20").withColumn(
+        "text", F.concat("text", F.lit(" and more"))
+    )
+    model = fx.training(spark, d).model
+    done = cascade.classify(rows.unionByName(again).unionByName(other), model, StageStore(spark))
+    return done.results.select("report_id", F.col("prediction").alias("outcome")).unionByName(
+        done.rejects.select("report_id", F.col("reason").alias("outcome"))
+    )
+
+
+@query
+def classify_own_candidates(spark, d):
+    """Candidates of the caller, one of them no class of the model."""
+    def stage1(reports):
+        even = F.array(F.lit("EN-1"), F.lit("XX-9"), F.lit("FR-1"))
+        odd = F.array(F.lit("DE-1"), F.lit("XX-9"))
+        return reports.select("report_id", F.when(F.col("report_id") % 2 == 0, even).otherwise(odd).alias("candidates"))
+
+    model = fx.training(spark, d).model
+    done = cascade.classify(fx.reports(spark, d), model, StageStore(spark), stage1=stage1)
+    return done.results.select("report_id", "prediction", "routed_to")
+
+
+@query
+def scorer_errors(spark, d):
+    """A fallback that fails on some rows: these are rejected with its error,
+    the others answered."""
+    def answer(report, codes, attempt):
+        if len(report) % 5 == 0:
+            raise ValueError("refused")
+        return codes[-1]
+
+    scorers.register_backend("fragile", lambda context: scorers.python_scorer(answer))
+    model = fx.training(spark, d).model
+    done = cascade.classify(fx.reports(spark, d), model, StageStore(spark), "fragile")
+    return done.results.select("report_id", F.col("prediction").alias("outcome")).unionByName(
+        done.rejects.select("report_id", F.col("reason").alias("outcome"))
+    )
+
+
 @query
 def batch_totals(spark, d):
     model = fx.training(spark, d).model
@@ -887,7 +1026,9 @@ def confusion_matrix(spark, d):
 
 @query
 def confusion_pivot(spark, d):
-    return ev.confusion_pivot(_counts(spark, d), ["de", "en", "es", "fr"])
+    counts = StageStore(spark).put("counts", _counts(spark, d))
+    seen = counts.select(F.explode(F.array("y_true", "pred")).alias("label")).distinct()
+    return ev.confusion_pivot(counts, sorted(r.label for r in seen.dropna().collect()))
 
 
 @query
@@ -997,8 +1138,8 @@ def stream_unique_predictions(spark, d):
 def _windowed(spark, d, slide):
     store = StageStore(spark)
     table = stream_metrics.windowed_metrics(_event_stream(spark, d), "1 day", slide)
-    stream_metrics.run_to_table(table, store.path("windows"), store.path("checkpoint"))
-    done = spark.read.parquet(store.path("windows"))
+    stream_metrics.run_upserts(table, store.path("windows"), store.path("checkpoint")).awaitTermination()
+    done = stream_metrics.latest_windows(spark, store.path("windows"))
     return done.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"),
         *[c for c in done.columns if not c.startswith("window_")],
@@ -1007,7 +1148,7 @@ def _windowed(spark, d, slide):
 
 @query
 def stream_daily_metrics(spark, d):
-    """Closed days only: the last one stays open behind the watermark."""
+    """Every day of the log, the last one too, which is still open."""
     return _windowed(spark, d, None)
 
 

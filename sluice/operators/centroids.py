@@ -6,12 +6,11 @@ import json
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.operators.vectors import ClassWeights, term_index, vectorizer
+from sluice.operators.vectors import ClassWeights, term_index, vector_entries, vectorizer
 from sluice.operators.vocabulary import fit_vocabulary, report_terms
 from sluice.params import CascadeParams
 from sluice.session import StageStore
@@ -62,24 +61,29 @@ class CentroidModel:
 
 
 def class_centroids(vectors: DataFrame) -> DataFrame:
-    """label, n_rows, centroid from (label, tfidf). The sums are built on the
-    map side; a class of any size reaches the reducer as one dense vector per
-    task."""
-    mean = Summarizer.metrics("mean").summary(F.col("tfidf")).mean
-    means = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), mean.alias("mean"))
-    return Normalizer(p=2.0, inputCol="mean", outputCol="centroid").transform(means)
-
-
-def weight_table(centroids: DataFrame) -> DataFrame:
-    """idx, weights: the centroids turned by 90 degrees."""
-    dense = centroids.select("label", F.unwrap_udt("centroid").alias("v"))
-    values = dense.select(
-        "label",
-        F.col("v.indices").alias("indices"),
-        F.posexplode("v.values").alias("pos", "w"),
-    ).select("label", F.coalesce(F.get("indices", F.col("pos")), F.col("pos")).alias("idx"), "w")
-    packed = F.sort_array(F.collect_list(F.struct("label", "w")))  # one entry per class
-    return values.groupBy("idx").agg(packed.alias("p")).select("idx", F.col("p.w").alias("weights"))
+    """label, idx, n_rows, w from (label, tfidf): the unit mean vector of each
+    class, without zeros. Entries are summed by (label, idx) on the map side
+    and spread over idx, so no reducer holds a class; only the lengths, one
+    number a class, are gathered by label. A class of empty vectors has one row
+    with NULL idx."""
+    sizes = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+    sums = (
+        vector_entries(vectors, "label").groupBy("label", "idx").agg(F.sum("w").alias("s"))
+    ).filter(F.col("idx").isNotNull() & (F.col("s") != 0))
+    lengths = sums.groupBy("label").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("length"))
+    about = sizes.join(lengths, "label", "left")  # one row a class
+    return about.join(sums, "label", "left").select(
+        "label", "idx", "n_rows", (F.col("s") / F.col("length")).alias("w")
+    )
+
+
+def weight_table(centroids: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """idx, weights (label order): the centroids turned by 90 degrees."""
+    own = F.map_from_entries(F.collect_list(F.struct("label", "w")))  # one entry per class
+    found = centroids.filter(F.col("idx").isNotNull()).groupBy("idx").agg(own.alias("m"))
+    names = F.array(*[F.lit(x) for x in labels])
+    weights = F.transform(names, lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0)))
+    return found.select("idx", weights.alias("weights"))
 
 
 def centroid_rows(model: CentroidModel) -> DataFrame:
@@ -104,12 +108,13 @@ def fit_centroids(train: DataFrame, params: CascadeParams, store: StageStore) ->
         "centroids",
         class_centroids(fitted.transform(documents).select("label", "tfidf")),
     )
-    labels = tuple(r.label for r in centroids.select("label").orderBy("label").limit(params.max_labels + 1).collect())
+    names = centroids.select("label").distinct().orderBy("label").limit(params.max_labels + 1)
+    labels = tuple(r.label for r in names.collect())
     if len(labels) > params.max_labels:
         raise ValueError(f"more than {params.max_labels} classes")
     idf = term_index(train.sparkSession, fitted).join(vocab.select("term", "idf"), "term")
     table = store.put(
-        "weights", weight_table(centroids).join(idf, "idx").select("idx", "idf", "weights")
+        "weights", weight_table(centroids, labels).join(idf, "idx").select("idx", "idf", "weights")
     )
     n_terms = len(fitted.stages[0].vocabulary)
     return CentroidModel(params, vocab, fitted, ClassWeights(table, labels, n_terms))

@@ -6,32 +6,23 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.params import CascadeParams
 
-# Class-weight tables up to this many bytes are broadcast, larger ones joined
-# by shuffle. The size is known: vocabulary x labels x 8 bytes.
-BROADCAST_BYTES = 256 * 1024 * 1024
-# Up to this many classes get one sum each in a single grouping; more classes
-# are scored as one row per vector and class.
-WIDE_LABELS = 256
-
 
 def vectorizer(vocab: DataFrame, params: CascadeParams) -> PipelineModel:
     """terms -> tfidf (sparse, L2-normalised). Only the vocabulary reaches the
-    driver: at most max_features terms. The counter is fitted on the finished
-    vocabulary, one term per row, and numbers the terms in its own order; use
-    term_index() for the numbers."""
-    counter = CountVectorizer(
-        vocabSize=params.max_features, minDF=1.0, inputCol="terms", outputCol="counts"
-    ).fit(vocab.select(F.array("term").alias("terms")))
-    idf = {r.term: r.idf for r in vocab.select("term", "idf").collect()}
+    driver: at most max_features terms, numbered in term order."""
+    rows = sorted((r.term, r.idf) for r in vocab.select("term", "idf").collect())
+    # A vocabulary without terms still makes vectors, all of them empty.
+    terms = [t for t, _ in rows] or [""]
+    counter = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="counts")
     scale = ElementwiseProduct(
-        scalingVec=Vectors.dense([idf[t] for t in counter.vocabulary]),
+        scalingVec=Vectors.dense([idf for _, idf in rows] or [0.0]),
         inputCol="counts",
         outputCol="scaled",
     )
@@ -46,11 +37,18 @@ def term_index(spark: SparkSession, fitted: PipelineModel) -> DataFrame:
 
 
 def vector_entries(df: DataFrame, *keys: str, vector: str = "tfidf") -> DataFrame:
-    """Sparse vectors as rows: keys, idx, w. A vector without entries yields
-    one row with NULL idx, so no document gets lost."""
+    """Vectors as rows: keys, idx, w. A vector without entries yields one row
+    with NULL idx, so no document gets lost. A dense vector has no indices:
+    there the place is the index."""
     raw = df.select(*keys, F.unwrap_udt(vector).alias("v"))
-    pairs = F.arrays_zip(F.col("v.indices").alias("idx"), F.col("v.values").alias("w"))
-    return raw.select(*keys, F.explode_outer(pairs).alias("e")).select(*keys, "e.idx", "e.w")
+    pairs = F.transform(
+        "v.values",
+        lambda w, i: F.struct(F.coalesce(F.get("v.indices", i), i).alias("idx"), w.alias("w")),
+    )
+    rows = raw.select(*keys, F.posexplode_outer(pairs).alias("pos", "e"))
+    # begins: the entry that stands for the vector, so that vectors can be counted.
+    begins = (F.coalesce("pos", F.lit(0)) == 0).alias("begins")
+    return rows.select(*keys, "e.idx", "e.w", begins)
 
 
 def tfidf_rows(documents: DataFrame, fitted: PipelineModel) -> DataFrame:
@@ -61,6 +59,13 @@ def tfidf_rows(documents: DataFrame, fitted: PipelineModel) -> DataFrame:
     return entries.join(F.broadcast(index), "idx").select("report_id", "term", "w")
 
 
+# Columns of class weights summed side by side: more would leave whole-stage
+# code generation (spark.sql.codegen.maxFields) and broadcast more at once.
+BLOCK_LABELS = 64
+# Bytes of class weights broadcast at once; the rest follows in further blocks.
+BLOCK_BYTES = 256 * 1024 * 1024
+
+
 @dataclass(frozen=True)
 class ClassWeights:
     """idx, weights array (one entry per label, in label order), and for
@@ -70,88 +75,75 @@ class ClassWeights:
     labels: tuple[str, ...]
     n_terms: int
 
-    @property
-    def n_bytes(self) -> int:
-        return self.n_terms * (len(self.labels) + 4) * 8
+    def blocks(self) -> list[range]:
+        """Label positions, in blocks small enough to broadcast. There are no
+        more blocks than labels: one label's weights are one number a term."""
+        fitting = max(1, BLOCK_BYTES // (8 * max(1, self.n_terms)) - 4)
+        size = min(BLOCK_LABELS, fitting)
+        n = len(self.labels)
+        return [range(i, min(i + size, n)) for i in range(0, n, size)] or [range(0)]
+
+    def side(self, block: range) -> DataFrame:
+        rest = [c for c in self.table.columns if c not in ("idx", "weights")]
+        part = F.slice("weights", block.start + 1, max(1, len(block))).alias("weights")
+        return F.broadcast(self.table.select("idx", *rest, part))
+
+
+def _summed(
+    entries: DataFrame, weights: ClassWeights, keys: tuple[str, ...], value: Column, whole: list[Column]
+) -> DataFrame:
+    """keys, the sums named in `whole`, scores: per key the sum of value times
+    class weight for every label. Each block of labels is one broadcast join
+    and one grouping with map-side sums (all entries of a vector come from one
+    row); the short score rows of the blocks are joined by key."""
+    done = None
+    for block in weights.blocks():
+        joined = entries.join(weights.side(block), "idx", "left").withColumn("_x", value)
+        sums = [F.sum(F.col("_x") * F.get("weights", F.lit(k))).alias(f"s{k}") for k in range(len(block))]
+        grouped = joined.groupBy(*keys).agg(*(whole if done is None else []), *sums)
+        array = F.array(*[F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in range(len(block))])
+        own = [c for c in grouped.columns if c not in {f"s{k}" for k in range(len(block))}]
+        part = grouped.select(*own, array.cast("array<double>").alias("scores"))
+        if done is None:
+            done = part
+        else:
+            more = part.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("scores").alias("_more"))
+            same = [done[k].eqNullSafe(more[f"_{k}"]) for k in keys]
+            done = done.join(more, same).select(
+                *[c for c in done.columns if c != "scores"], F.concat("scores", "_more").alias("scores")
+            )
+    return done
+
+
+def _shared(scores: Column, by: Column) -> Column:
+    return F.transform(scores, lambda s: F.coalesce(F.try_divide(s, by), F.lit(0.0)))
 
-    def side(self) -> DataFrame:
-        return F.broadcast(self.table) if self.n_bytes <= BROADCAST_BYTES else self.table
 
-
-def _scores_by_position(entries: DataFrame, weights: ClassWeights, *keys: str) -> DataFrame:
-    joined = entries.join(weights.side(), "idx", "left")
-    none = F.array_repeat(F.lit(0.0), len(weights.labels))
-    return (
-        joined.select(*keys, "w", F.posexplode_outer(F.coalesce("weights", none)).alias("c", "cw"))
-        .groupBy(*keys, "c")
-        .agg(F.sum(F.coalesce(F.col("w"), F.lit(0.0)) * F.col("cw")).alias("score"))
-    )
+def score_arrays(entries: DataFrame, weights: ClassWeights, *keys: str) -> DataFrame:
+    """keys, scores: all class scores of a vector in one array, label order.
+    Rows that repeat a key with the same vector are one vector."""
+    rows = F.count_if("begins").alias("rows")
+    done = _summed(entries, weights, keys, F.col("w"), [rows])
+    return done.select(*keys, _shared(F.col("scores"), F.col("rows")).alias("scores"))
 
 
 def class_scores(entries: DataFrame, weights: ClassWeights, *keys: str) -> DataFrame:
     """keys, label, score: the dot product of each vector with each class,
-    one row per class."""
-    label = F.element_at(F.array(*[F.lit(x) for x in weights.labels]), F.col("c") + 1)
-    rows = _scores_by_position(entries, weights, *keys)
-    return rows.select(*keys, label.alias("label"), "score")
-
-
-def score_arrays(entries: DataFrame, weights: ClassWeights, *keys: str) -> DataFrame:
-    """keys, scores: all class scores of a vector in one array, label order.
-    Every entry of a vector comes from one row, so the map-side sums shrink
-    it to one row before the shuffle."""
-    labels = weights.labels
-    if len(labels) > WIDE_LABELS:
-        rows = _scores_by_position(entries, weights, *keys)
-        packed = F.sort_array(F.collect_list(F.struct("c", "score")))  # one per class
-        return rows.groupBy(*keys).agg(packed.alias("p")).select(
-            *keys, F.col("p.score").alias("scores")
-        )
-    joined = entries.join(weights.side(), "idx", "left")
-    sums = [
-        F.sum(F.col("w") * F.col("weights")[i]).alias(f"s{i}") for i in range(len(labels))
-    ]
-    zero = F.lit(0.0)
-    return (
-        joined.groupBy(*keys)
-        .agg(*sums)
-        .select(
-            *keys,
-            F.array(*[F.coalesce(F.col(f"s{i}"), zero) for i in range(len(labels))]).alias(
-                "scores"
-            ),
-        )
+    one row per class. The products are summed as arrays first."""
+    names = F.array(*[F.lit(x) for x in weights.labels])
+    rows = score_arrays(entries, weights, *keys)
+    return rows.select(*keys, F.posexplode("scores").alias("c", "score")).select(
+        *keys, F.element_at(names, F.col("c") + 1).alias("label"), "score"
     )
 
 
 def count_scores(df: DataFrame, weights: ClassWeights, *keys: str) -> DataFrame:
     """keys, scores from rows with a `counts` vector. The vector's length is
     one more sum in the same grouping, so counts are scored without building
-    the TF-IDF vectors first."""
-    labels = weights.labels
+    the TF-IDF vectors first. Rows that repeat a key with the same vector are
+    one vector: n of them make the sums n times and the length sqrt(n) times
+    as large."""
     entries = vector_entries(df, *keys, vector="counts")
-    joined = entries.join(weights.side(), "idx", "left").withColumn(
-        "x", F.col("w") * F.col("idf")
-    )
-    length = F.sqrt(F.sum(F.col("x") * F.col("x")))
-    zero = F.lit(0.0)
-    if len(labels) > WIDE_LABELS:
-        none = F.array_repeat(zero, len(labels))
-        rows = (
-            joined.select(*keys, "x", F.posexplode(F.coalesce("weights", none)).alias("c", "cw"))
-            .groupBy(*keys, "c")
-            .agg(F.coalesce(F.sum(F.col("x") * F.col("cw")) / length, zero).alias("score"))
-        )
-        packed = F.sort_array(F.collect_list(F.struct("c", "score")))  # one per class
-        return rows.groupBy(*keys).agg(packed.alias("p")).select(
-            *keys, F.col("p.score").alias("scores")
-        )
-    sums = [
-        F.sum(F.col("x") * F.col("weights")[i]).alias(f"s{i}") for i in range(len(labels))
-    ]
-    scores = [F.coalesce(F.col(f"s{i}") / F.col("length"), zero) for i in range(len(labels))]
-    return (
-        joined.groupBy(*keys)
-        .agg(length.alias("length"), *sums)
-        .select(*keys, F.array(*scores).alias("scores"))
-    )
+    length = F.sqrt(F.sum(F.col("_x") * F.col("_x")) * F.count_if("begins")).alias("length")
+    done = _summed(entries, weights, keys, F.col("w") * F.col("idf"), [length])
+    return done.select(*keys, _shared(F.col("scores"), F.col("length")).alias("scores"))

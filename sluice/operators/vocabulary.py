@@ -40,12 +40,17 @@ def term_statistics(documents: DataFrame) -> DataFrame:
     )
 
 
-def vocabulary(stats: DataFrame, n_documents: int, max_features: int, min_df: int) -> DataFrame:
+def vocabulary(
+    stats: DataFrame, n_documents: int, max_features: int | None, min_df: int
+) -> DataFrame:
     """The max_features most frequent terms with df >= min_df, ties in term
     order: term, tf, df, idf. A histogram over size classes of tf (at most 16
     per power of two) first finds the class the last kept term lies in, so
     only a little more than max_features terms are ever sorted."""
     frequent = stats.filter(F.col("df") >= min_df)
+    idf = inverse_document_frequency(n_documents, F.col("df")).alias("idf")
+    if max_features is None:
+        return frequent.select("term", "tf", "df", idf)
     size_class = F.floor(F.log2(F.col("tf").cast("double")) * 16).cast("int")
     classed = frequent.withColumn("size_class", size_class)
     downwards = Window.orderBy(F.desc("size_class")).rowsBetween(Window.unboundedPreceding, 0)
@@ -60,9 +65,7 @@ def vocabulary(stats: DataFrame, n_documents: int, max_features: int, min_df: in
         classed.filter(F.col("size_class") >= lowest)
         .orderBy(F.desc("tf"), "term")
         .limit(max_features)
-        .select(
-            "term", "tf", "df", inverse_document_frequency(n_documents, F.col("df")).alias("idf")
-        )
+        .select("term", "tf", "df", idf)
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,10 +102,12 @@ def window_evidence(
             .withColumn("candidates", pick(labels, F.col("at")))
         )
     else:
-        at = F.transform("candidates", lambda c: F.array_position(labels, c) - 1)
+        at = F.transform("candidates", lambda c: F.array_position(labels, c).cast("int") - 1)
         placed = windows.join(candidates.select("report_id", "candidates"), "report_id")
         placed = placed.withColumn("at", at)
-    scored = placed.withColumn("chosen", pick(F.col("scores"), F.col("at"))).withColumn(
+    # A candidate the model doesn't know scores 0.
+    chosen = F.transform(pick(F.col("scores"), F.col("at")), lambda s: F.coalesce(s, F.lit(0.0)))
+    scored = placed.withColumn("chosen", chosen).withColumn(
         "probabilities", softmax(F.col("chosen"), params.softmax_scale)
     )
     return best_candidate(scored, params.tie_decimals).select(
@@ -154,6 +158,22 @@ def with_defaults(candidates: DataFrame, best: DataFrame) -> DataFrame:
     )
 
 
+#: Scores of a caller's own: (report_id, chunk_index, tokens, candidates) rows in,
+#: (report_id, chunk_index, label, raw_score) rows out.
+WindowScorer = Callable[[DataFrame], DataFrame]
+
+
+def own_evidence(
+    reports: DataFrame, candidates: DataFrame, scorer: WindowScorer, params: CascadeParams, scale: float = 1.0
+) -> DataFrame:
+    """Window evidence from a caller's scorer. A window row carries its words
+    and its report's candidates, so it is scored in place: the text moves at
+    most once, for the join with the candidates. Reports whose windows the
+    scorer leaves out have no evidence; with_defaults() decides them."""
+    windows = report_windows(reports, params).join(candidates.select("report_id", "candidates"), "report_id")
+    return evidence_from_rows(scorer(windows), candidates, scale, params.tie_decimals)
+
+
 def window_candidates(windows: DataFrame, candidates: DataFrame) -> DataFrame:
     """report_id, chunk_index, rank, label: what a caller's own window scorer
     has to score; each window meets only its own report's few candidates."""

@@ -7,6 +7,9 @@ from dataclasses import asdict, dataclass
 
 from sluice.functions.words import STOP_WORDS
 
+# Fixed value: windows the reference scores at most (2,368 tokens of a text).
+REFERENCE_WINDOWS = 12
+
 
 @dataclass(frozen=True)
 class CascadeParams:
@@ -17,13 +20,13 @@ class CascadeParams:
     top_k: int = 5
     window_tokens: int = 256
     window_overlap: int = 64
-    max_windows: int | None = 12  # None scores every window of the text
+    max_windows: int | None = None  # None scores every window of the text
     threshold: float = 0.6
     retries: int = 1
     seed: int = 42
     test_share: float = 0.2
 
-    max_features: int = 50_000
+    max_features: int | None = 50_000  # None keeps every term of df >= min_df
     min_df: int = 2
     ngram_max: int = 2
     stop_words: tuple[str, ...] = STOP_WORDS
@@ -43,7 +46,7 @@ class CascadeParams:
             raise ValueError("threshold must lie in [0, 1]")
         if self.max_windows is not None and self.max_windows < 1:
             raise ValueError("max_windows must be positive or None")
-        if self.top_k < 1 or self.max_features < 1 or self.ngram_max not in (1, 2):
+        if self.top_k < 1 or self.ngram_max not in (1, 2) or (self.max_features or 1) < 1:
             raise ValueError("top_k, max_features or ngram_max out of range")
 
     @property

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.answers import reject_reason
+from sluice.operators.candidates import report_scores, top_candidates
 from sluice.operators.centroids import CentroidModel
 from sluice.operators.routing import (
     fallback_answers,
@@ -17,7 +19,14 @@ from sluice.operators.routing import (
     split_by_threshold,
 )
 from sluice.operators.scorers import Context, get_backend
-from sluice.operators.windows import best_window, unit_scores, window_evidence
+from sluice.operators.windows import (
+    WindowScorer,
+    best_window,
+    own_evidence,
+    unit_scores,
+    window_evidence,
+    with_defaults,
+)
 from sluice.session import StageStore
 
 
@@ -30,20 +39,36 @@ class Stages:
     seconds: dict[str, float] = field(default_factory=dict)
 
 
+#: Ranks classes: (report_id, text) rows in, (report_id, candidates) rows out.
+Stage1 = Callable[[DataFrame], DataFrame]
+
+
 def run_stages(
     reports: DataFrame,
     model: CentroidModel,
     store: StageStore,
     candidates: DataFrame | None = None,
+    window_scorer: WindowScorer | None = None,
+    scale: float = 1.0,
 ) -> Stages:
     """Score all reports and decide. Both tables are stored: routing reads
-    the decisions twice, explanations and re-routing come later."""
+    the decisions twice, explanations and re-routing come later. A caller may
+    bring its own candidates and its own scorer of windows (scale: of the
+    softmax over its raw scores)."""
     started = time.perf_counter()
-    evidence = store.put(
-        "evidence", window_evidence(unit_scores(reports, model), model, candidates)
-    )
+    if window_scorer is not None:
+        if candidates is None:
+            scores = report_scores(reports, model)
+            p = model.params
+            candidates = store.put("candidates", top_candidates(scores, model.labels, p.top_k, p.tie_decimals))
+        found = own_evidence(reports, candidates, window_scorer, model.params, scale)
+    else:
+        found = window_evidence(unit_scores(reports, model), model, candidates)
+    evidence = store.put("evidence", found)
     scored = time.perf_counter()
-    decisions = store.put("decisions", best_window(evidence, model.params.tie_decimals))
+    best = best_window(evidence, model.params.tie_decimals)
+    # Reports with candidates, but without a scored window, are decided too.
+    decisions = store.put("decisions", best if candidates is None else with_defaults(candidates, best))
     return Stages(
         evidence,
         decisions,
@@ -78,6 +103,16 @@ class Classified:
     results: DataFrame
     rejects: DataFrame
     stages: Stages
+    repeated: bool = False  # some ids occur more than once in the input
+
+
+def repeated_ids(reports: DataFrame) -> DataFrame:
+    """report_id, copies, same_text of ids that occur more than once."""
+    digest = F.xxhash64("text")
+    seen = reports.groupBy("report_id").agg(
+        F.count(F.lit(1)).alias("copies"), (F.min(digest) == F.max(digest)).alias("same_text")
+    )
+    return seen.filter(F.col("copies") > 1)
 
 
 def classify(
@@ -88,21 +123,64 @@ def classify(
     run_id: str = "run",
     names: Column | None = None,
     validate: bool = True,
+    stage1: Stage1 | None = None,
+    window_scorer: WindowScorer | None = None,
+    scale: float = 1.0,
+    on_error: str = "reject",
 ) -> Classified:
     """Classify report_id, text. With validate, texts that are missing, too
     short or blank go to `rejects` with a reason and the rest goes on; without
-    it (as in batch requests) only missing texts are rejected."""
+    it (as in batch requests) only missing texts are rejected.
+
+    Every input row is in results or rejects. Rows that repeat id and text get
+    equal results, one each, with prediction ids of their own; rows whose id
+    stands for different texts are rejected (ambiguous_id). Rows a fallback
+    fails on are rejected with its error, or take candidate 1 with
+    on_error="first_candidate". stage1 ranks the candidates instead of the
+    model, window_scorer scores the windows instead of it."""
+    if on_error not in ("reject", "first_candidate"):
+        raise ValueError("on_error is reject or first_candidate")
     reason = reject_reason(F.col("text"))
     if not validate:
         reason = F.when(F.col("text").isNull(), "missing")
     checked = reports.select("report_id", "text", reason.alias("reason"))
     good = checked.filter(F.col("reason").isNull()).select("report_id", "text")
     rejects = checked.filter(F.col("reason").isNotNull()).select("report_id", "reason")
-    stages = run_stages(good, model, store)
+    repeated = store.put("repeated_ids", repeated_ids(good))
+    copies = None
+    if not repeated.isEmpty():
+        copies = repeated.filter("same_text")
+        mixed = repeated.filter(~F.col("same_text")).select("report_id")
+        rejects = rejects.unionByName(
+            good.join(mixed, "report_id", "left_semi").select("report_id", F.lit("ambiguous_id").alias("reason"))
+        )
+        good = good.join(mixed, "report_id", "left_anti")
+    candidates = None if stage1 is None else store.put("candidates", stage1(good).distinct())
+    stages = run_stages(good, model, store, candidates, window_scorer, scale)
     started = time.perf_counter()
-    routed = store.put("routed", route(stages, model, store, backend, reports=good))
+    texts = good if copies is None else good.dropDuplicates(["report_id"])
+    routed = store.put("routed", route(stages, model, store, backend, reports=texts))
     stages.seconds["routing"] = time.perf_counter() - started
-    return Classified(response_rows(routed, run_id, names), rejects, stages)
+    if on_error == "reject":
+        failed = routed.filter(F.col("error").isNotNull())
+        failed = _each(failed.select("report_id", F.concat(F.lit("scorer: "), "error").alias("reason")), copies)
+        rejects = rejects.unionByName(failed.drop("copy"))
+        routed = routed.filter(F.col("error").isNull())
+    results = response_rows(routed, run_id, names)
+    if copies is not None:
+        results = _each(results, copies)
+        again = F.concat_ws("-", "prediction_id", F.nullif("copy", F.lit(0)).cast("string"))
+        results = results.withColumn("prediction_id", again).drop("copy")
+    return Classified(results, rejects, stages, copies is not None)
+
+
+def _each(rows: DataFrame, copies: DataFrame | None) -> DataFrame:
+    """One row for each copy of its report, numbered from 0."""
+    if copies is None:
+        return rows.withColumn("copy", F.lit(0))
+    many = rows.join(copies.select("report_id", "copies"), "report_id", "left")
+    last = F.coalesce("copies", F.lit(1)).cast("int") - 1
+    return many.withColumn("copy", F.explode_outer(F.sequence(F.lit(0), last))).drop("copies")
 
 
 def batch_totals(classified: Classified) -> DataFrame:
@@ -128,9 +206,10 @@ def log_rows(classified: Classified, reports: DataFrame) -> DataFrame:
     (save_bucketed) stay in place."""
     speed = throughput(classified)
     latency = int(1000 / max(speed["reports_per_second"], 1e-9)) if speed["reports"] else 0
-    return classified.results.join(
-        reports.select("report_id", F.col("text").alias("report_text")), "report_id"
-    ).select(
+    texts = reports.select("report_id", F.col("text").alias("report_text"))
+    if classified.repeated:
+        texts = texts.dropDuplicates(["report_id"])
+    return classified.results.join(texts, "report_id").select(
         F.col("prediction_id").alias("id"),
         "report_text",
         "prediction",

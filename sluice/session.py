@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,13 +52,18 @@ class StageStore:
     def __init__(self, spark: SparkSession, base: str | None = None) -> None:
         self.spark = spark
         self.base = f"{base or shared_dir(spark)}/stages-{uuid.uuid4().hex}"
+        self._written: Counter[str] = Counter()
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("errorifexists").parquet(self.path(name))
-        return self.get(name, df)
+        """Each call writes a table of its own, so a step may run again."""
+        self._written[name] += 1
+        turn = self._written[name]
+        own = name if turn == 1 else f"{name}-{turn}"
+        df.write.mode("errorifexists").parquet(self.path(own))
+        return self.get(own, df)
 
     def get(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))

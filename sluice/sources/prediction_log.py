@@ -1,8 +1,9 @@
-"""The prediction log: an append-only table partitioned by day."""
+"""The prediction log: an append-only table, by batch and day."""
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,8 @@ LOG_SCHEMA = T.StructType([
     T.StructField("created_at", T.TimestampType(), True),
 ])
 STORED_SCHEMA = T.StructType(
-    LOG_SCHEMA.fields + [T.StructField("created_date", T.DateType(), True)]
+    LOG_SCHEMA.fields
+    + [T.StructField("batch_id", T.StringType(), True), T.StructField("created_date", T.DateType(), True)]
 )
 
 
@@ -38,20 +40,21 @@ def _dated(df: DataFrame) -> DataFrame:
 
 
 def append_predictions(df: DataFrame, path: str) -> None:
-    """Append rows; the directory comes into being with the first append."""
-    _dated(df).write.mode("append").partitionBy("created_date").parquet(path)
+    """Append rows as a batch of their own; the directory comes into being
+    with the first append."""
+    replace_batch(df, path, f"append-{uuid.uuid4().hex}")
 
 
-def replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write one micro-batch under its own partition. A replayed batch
-    overwrites what its first attempt left, so no row is logged twice."""
+def replace_batch(df: DataFrame, path: str, batch_id: int | str) -> None:
+    """Write one batch into its own directory, by day. A replayed batch
+    overwrites all that its first attempt left, whatever the day of either,
+    so no row is logged twice."""
     (
         _dated(df)
-        .withColumn("batch_id", F.lit(batch_id).cast("long"))
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", "created_date")
-        .parquet(path)
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("created_date")
+        .parquet(f"{path}/batch_id={batch_id}")
     )
 
 

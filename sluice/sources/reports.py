@@ -28,14 +28,17 @@ NULL_SPELLINGS = (
 def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     # Reports hold line breaks, so a record may span lines. Such files cannot
     # be split: ship many files, or convert once with save_bucketed().
+    # Columns are taken by their header name, as strings; others are ignored.
     raw = (
-        spark.read.schema(schema)
-        .option("header", True)
+        spark.read.option("header", True)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
     )
+    missing = [f.name for f in schema if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
     return raw.select([
         F.when(~F.col(f.name).isin(*NULL_SPELLINGS), F.col(f.name)).alias(f.name)
         for f in schema
@@ -72,14 +75,15 @@ def read_reports(
     )
 
 
-def spread_small(df: DataFrame, key: str = "report_id") -> DataFrame:
+def spread_small(df: DataFrame) -> DataFrame:
     """A table that comes in fewer input splits than the cluster has cores is
-    spread over all of them before the text work starts. Splits are limited in
+    dealt in turn over all of them before the text work starts; the plan above
+    is the one a large table gets, with all its exchanges. Splits are limited in
     size (spark.sql.files.maxPartitionBytes), so what moves here is at most
     that size times the cores; tables with more splits stay where they are.
     Pass a plain scan: its splits are known without running anything."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:

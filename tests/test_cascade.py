@@ -168,7 +168,7 @@ def test_python_scorer_sees_low_rows_only(spark, model, reports, stages, store):
         seen.add(1)
         return codes[-1].lower()
 
-    scorers.register_backend("last", lambda context: scorers.python_scorer(answer, "string"))
+    scorers.register_backend("last", lambda context: scorers.python_scorer(answer))
     threshold = sorted(r.score for r in stages.decisions.collect())[5]
     routed = cascade.route(stages, model, store, "last", threshold, reports).collect()
     low = [r for r in routed if r.routed_to == "last"]

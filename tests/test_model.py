@@ -106,11 +106,9 @@ def expected_scores():
 
 
 @pytest.mark.parametrize("wide", [64, 1])
-@pytest.mark.parametrize("limit", [vec.BROADCAST_BYTES, 0])
-def test_scores_on_every_path(monkeypatch, train, model, wide, limit):
-    """Few or many classes, broadcast or shuffled weights: same numbers."""
-    monkeypatch.setattr(vec, "WIDE_LABELS", wide)
-    monkeypatch.setattr(vec, "BROADCAST_BYTES", limit)
+def test_scores_by_blocks_of_labels(monkeypatch, train, model, wide):
+    """One block or one for each class: same numbers."""
+    monkeypatch.setattr(vec, "BLOCK_LABELS", wide)
     want = {i: pytest.approx(s) for i, s in expected_scores().items()}
     got = {r.report_id: list(r.scores) for r in cand.report_scores(train, model).collect()}
     assert got == want
@@ -124,6 +122,22 @@ def test_scores_on_every_path(monkeypatch, train, model, wide, limit):
     }
 
 
+def test_repeated_rows_score_like_one(train, model):
+    want = {i: pytest.approx(s) for i, s in expected_scores().items()}
+    twice = train.unionAll(train)
+    assert {r.report_id: list(r.scores) for r in cand.report_scores(twice, model).collect()} == want
+
+
+def test_dense_vectors_have_scores(spark, train, model):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    vectors = model.vectorizer.transform(voc.report_terms(train, PARAMS))
+    dense = vectors.select("report_id", array_to_vector(vector_to_array("tfidf")).alias("tfidf"))
+    got = vec.score_arrays(vec.vector_entries(dense, "report_id"), model.weights, "report_id")
+    want = {i: pytest.approx(s) for i, s in expected_scores().items()}
+    assert {r.report_id: list(r.scores) for r in got.collect()} == want
+
+
 def test_candidates_break_ties_by_label(spark):
     scores = spark.createDataFrame([(1, [0.5, 0.7, 0.5, 0.7000000001]), (2, [0.0, 0.0, 0.0, 0.0])], "report_id long, scores array<double>")
     labels = ["a", "b", "c", "d"]
