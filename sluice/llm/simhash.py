@@ -279,9 +279,10 @@ def near_duplicates(
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the smallest id of their group, with all columns."""
+    """The documents with the smallest id of their group, with all columns. An
+    id goes if none of its rows leads a group."""
     made = stage(docs.sparkSession, "near_decisions", near_duplicates(docs, doc_id, text))
-    gone = made.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id")
-    ).distinct()
+    leads = F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_leads")
+    ids = made.groupBy(F.col("doc_id").alias("_id")).agg(leads)
+    gone = ids.filter(~F.col("_leads"))
     return docs.join(gone, docs[doc_id].eqNullSafe(gone["_id"]), "left_anti")
