@@ -18,7 +18,7 @@ from sluice.operators import vectors as vec
 from sluice.operators import vocabulary as voc
 from sluice.operators import windows as win
 from sluice.params import REFERENCE_WINDOWS, CascadeParams
-from sluice.plans import cascade
+from sluice.plans import cascade, training
 from sluice.session import StageStore
 from sluice.sources import evaluation_store, labels, prediction_log
 from sluice.sources import reports as report_files
@@ -311,8 +311,9 @@ def duplicate_labels(spark, d):
 
 
 def _split(spark, d, validation_share=0.0) -> DataFrame:
-    corpus = joins.labelled_corpus(fx.reports(spark, d), fx.labels(spark, d), "report_id")
-    return splits.group_split(corpus, "group_id", P.test_share, P.seed, validation_share)
+    store = StageStore(spark)
+    rows, marks = fx.reports(spark, d), fx.labels(spark, d)
+    return training.split_corpus(rows, marks, P, store, "report_id", validation_share)
 
 
 @query
@@ -433,7 +434,7 @@ def vocabulary_size(spark, d):
 def vocabulary_match(spark, d):
     documents = voc.report_terms(fx.reports(spark, d), P)
     vocab = StageStore(spark).put("vocabulary", _vocabulary(spark, d))
-    known = voc.match_vocabulary(documents, vocab)
+    known = voc.match_vocabulary(documents, vocab, P.max_features)
     return known.groupBy("report_id").agg(
         F.count(F.lit(1)).alias("n_known"),
         F.sum("tf").alias("n_occurrences"),
@@ -552,14 +553,7 @@ def candidate_recall(spark, d):
 def _fit_vectors(spark, d):
     """Vectors of the split corpus, language and quality as class, over the
     whole vocabulary of its training side."""
-    store = StageStore(spark)
-    parts = store.put("corpus", _split(spark, d))
-    documents = voc.report_terms(parts, P, "label", "split")
-    trained = documents.filter(F.col("split") == "train")
-    vocab = store.put("vocabulary", voc.fit_vocabulary(trained, P, store))
-    vectorizer = vec.vectorizer(vocab, P)
-    vectors = vectorizer.transform(documents)
-    return store.put("vectors", vectors.select("report_id", "label", "split", "tfidf")), vectorizer
+    return training.split_vectors(_split(spark, d), P, StageStore(spark))[0]
 
 
 def _sides(vectors):
@@ -583,7 +577,7 @@ def _best_label(labels, array) -> F.Column:
 def logistic_regression(spark, d):
     """Every held-out report: probabilities add up to 1, the prediction is the
     best of them, and the fit has reached the optimum of its objective."""
-    trained, held_out = _sides(_fit_vectors(spark, d)[0])
+    trained, held_out = _sides(_fit_vectors(spark, d))
     model = linear_models.fit_logistic(trained)
     gradient = linear_models.logistic_gradient(model, trained)
     return model.transform(held_out).select(
@@ -597,7 +591,7 @@ def logistic_regression(spark, d):
 @query
 def linear_svm(spark, d):
     """Every held-out report: one decision value a class, the best is predicted."""
-    trained, held_out = _sides(_fit_vectors(spark, d)[0])
+    trained, held_out = _sides(_fit_vectors(spark, d))
     model = linear_models.fit_svm(trained)
     scores = StageStore(spark).put("scores", model.scores(held_out))
     decided = cand.hard_prediction(scores, model.labels, P.tie_decimals)
@@ -609,18 +603,16 @@ def linear_svm(spark, d):
     )
 
 
-def _calibrated(spark, d, with_full=False):
-    vectors, vectorizer = _fit_vectors(spark, d)
-    trained, held_out = _sides(vectors)
-    folded = StageStore(spark).put("folds", splits.stratified_folds(trained, 5, seed=P.seed))
-    return linear_models.fit_calibrated(folded, with_full=with_full), trained, held_out, vectorizer
+def _classifiers(spark, d, with_full=False) -> training.Classifiers:
+    return training.train_classifiers(_split(spark, d), P, StageStore(spark), with_full=with_full)
 
 
 @query
 def calibrated_svm(spark, d):
     """Sigmoid calibration over 5 folds: probabilities add up to 1, the best is
     predicted, candidates rank by the first fold's raw scores."""
-    model, _, held_out, _ = _calibrated(spark, d)
+    fitted = _classifiers(spark, d)
+    model, held_out = fitted.svm, fitted.part("test")
     store = StageStore(spark)
     probable = model.transform(held_out)
     scores = store.put("scores", model.decision_scores(held_out))
@@ -639,13 +631,8 @@ def holdout_scores(spark, d):
     """Both fitted models on the test side: rows, and whether accuracy, macro
     and weighted F1 are those of a model that has learnt (above the share of
     the largest class)."""
-    model, trained, held_out, _ = _calibrated(spark, d)
-    truth = held_out.select("report_id", "label")
-    logistic = linear_models.fit_logistic(trained)
-    counts = linear_models.holdout_scores(logistic.transform(held_out), truth, "logistic").unionByName(
-        linear_models.holdout_scores(model.transform(held_out), truth, "calibrated_svm")
-    )
-    counts = StageStore(spark).put("counts", counts)
+    fitted = _classifiers(spark, d)
+    truth, counts = fitted.part("test").select("report_id", "label"), fitted.counts
     largest = truth.groupBy("label").count().agg(F.max("count")).first()[0]
     table = ev.accuracy(counts, "model").join(ev.f1_scores(counts, "model"), "model")
     return table.select(
@@ -661,18 +648,14 @@ def holdout_scores(spark, d):
 def saved_svm_round_trip(spark, d):
     """Save and load the calibrated SVM and the logistic model, score every
     held-out report with both, count differing rows."""
-    model, trained, held_out, _ = _calibrated(spark, d, with_full=True)
-    logistic = linear_models.fit_logistic(trained)
+    fitted = _classifiers(spark, d, with_full=True)
+    model, logistic, held_out = fitted.svm, fitted.logistic, fitted.part("test")
     path = StageStore(spark).path("models")
-    model.save(f"{path}/svm")
-    logistic.save(f"{path}/logistic")
-    again = linear_models.CalibratedSvm.load(spark, f"{path}/svm")
+    fitted.save(path)
+    _, logistic_again, again = training.load_classifiers(spark, path)
     pairs = [
         (model.transform(held_out), again.transform(held_out)),
-        (
-            logistic.transform(held_out),
-            linear_models.Logistic.load(spark, f"{path}/logistic").transform(held_out),
-        ),
+        (logistic.transform(held_out), logistic_again.transform(held_out)),
         (
             cand.hard_prediction(model.decision_scores(held_out, "full"), model.labels, P.tie_decimals),
             cand.hard_prediction(again.decision_scores(held_out, "full"), again.labels, P.tie_decimals),
@@ -694,11 +677,11 @@ def saved_svm_round_trip(spark, d):
 def classify_svm(spark, d):
     """The cascade with the calibrated SVM as Stage 1: its candidates are the
     SVM's own best classes, in order, and the answer is one of them."""
-    model, _, _, vectorizer = _calibrated(spark, d)
+    fitted = _classifiers(spark, d)
 
     def stage1(reports):
-        documents = voc.report_terms(reports, P)
-        return model.candidates(vectorizer.transform(documents), P.top_k, P.tie_decimals)
+        documents = fitted.vectorizer.transform(voc.report_terms(reports, P))
+        return fitted.svm.candidates(documents, P.top_k, P.tie_decimals)
 
     rows = fx.reports(spark, d)
     done = cascade.classify(rows, fx.training(spark, d).model, StageStore(spark), stage1=stage1)
@@ -1002,7 +985,8 @@ def latency_percentiles(spark, d):
 
 
 def _counts(spark, d):
-    return ev.evaluation_counts(fx.truth(spark, d), fx.predictions(spark, d), fx.BASELINE, THRESHOLD)
+    counts = ev.evaluation_counts(fx.truth(spark, d), fx.predictions(spark, d), fx.BASELINE, THRESHOLD)
+    return StageStore(spark).put("counts", counts)
 
 
 def _rounded(df, *names):
@@ -1026,7 +1010,7 @@ def confusion_matrix(spark, d):
 
 @query
 def confusion_pivot(spark, d):
-    counts = StageStore(spark).put("counts", _counts(spark, d))
+    counts = _counts(spark, d)
     seen = counts.select(F.explode(F.array("y_true", "pred")).alias("label")).distinct()
     return ev.confusion_pivot(counts, sorted(r.label for r in seen.dropna().collect()))
 
@@ -1053,7 +1037,8 @@ def subset_comparison(spark, d):
     some = fx.labels(spark, d).select("report_id")
     extra = fx.predictions(spark, d).filter(F.col("model") == "model_a").join(some, "report_id", "left_semi")
     preds = fx.predictions(spark, d).unionByName(extra.withColumn("model", F.lit("model_s")))
-    table = ev.subset_comparison(fx.truth(spark, d), preds, "model_s", fx.BASELINE, THRESHOLD)
+    truth, store = fx.truth(spark, d), StageStore(spark)
+    table = ev.subset_comparison(truth, preds, "model_s", fx.BASELINE, THRESHOLD, store)
     return _rounded(table, "base_accuracy", "accuracy", "macro_f1", "delta")
 
 

@@ -76,12 +76,6 @@ def token_windows(tokens: Column, size: int, overlap: int, cap: int | None) -> C
     )
 
 
-def covered_tokens(n_tokens: Column, size: int, overlap: int, cap: int) -> Column:
-    """How many leading tokens the first `cap` windows reach."""
-    reach = size + (cap - 1) * (size - overlap)
-    return F.least(n_tokens, F.lit(reach))
-
-
 def focus_text(
     text: Column,
     anchors: Sequence[str] = REPORT_ANCHORS,

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.answers import confidence_band
+from sluice.session import StageStore
 
 
 def _hit() -> Column:
@@ -163,15 +164,15 @@ def recovery(counts: DataFrame, baseline: str, band: str = "LOW") -> DataFrame:
 
 
 def subset_comparison(
-    truth: DataFrame, preds: DataFrame, model: str, baseline: str, threshold: float
+    truth: DataFrame, preds: DataFrame, model: str, baseline: str, threshold: float, store: StageStore
 ) -> DataFrame:
     """A model evaluated on some reports only, against the baseline on the
-    same reports: band, n, accuracies, change, recoveries, regressions."""
+    same reports: band, n, accuracies, change, recoveries, regressions. The
+    counts, a few rows, are stored: the tables below read them several times."""
     ids = preds.filter(F.col("model") == model).select("report_id")
     same = truth.join(ids, "report_id", "left_semi")
-    counts = evaluation_counts(
-        same, preds.filter(F.col("model").isin(model, baseline)), baseline, threshold
-    )
+    both = preds.filter(F.col("model").isin(model, baseline))
+    counts = store.put("subset_counts", evaluation_counts(same, both, baseline, threshold))
     leveled = with_all(counts)
     table = comparison(counts, baseline).filter(
         (F.col("model") == model) & F.col("band").isin("ALL", "LOW")

@@ -19,13 +19,16 @@ def group_split(
     test_share: float = 0.2,
     seed: int = 42,
     validation_share: float = 0.0,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
     """Adds split = test / validation / train, the shares counted in groups.
     Where the groups lie is decided once, as one or two cut-off hashes; each
     row then compares its own hash with them, so no row moves and a group may
-    be of any size. Groups are NULL only in unlabelled data: they train."""
+    be of any size. Groups are NULL only in unlabelled data: they train.
+    groups: the groups of df as a stored table, so that df isn't computed once
+    more for each edge."""
     h = hash_order(F.col(group), seed)
-    keys = df.filter(F.col(group).isNotNull()).select(group)
+    keys = (df if groups is None else groups).filter(F.col(group).isNotNull()).select(group)
     test_edge = cutoff(keys, group, seed, _share_of_groups(test_share)).scalar()
     branch = F.when(h <= test_edge, "test")
     if validation_share:

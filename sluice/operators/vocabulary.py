@@ -81,10 +81,19 @@ def fit_vocabulary(documents: DataFrame, params: CascadeParams, store: StageStor
     return vocabulary(stats, documents.count(), params.max_features, params.min_df)
 
 
-def match_vocabulary(documents: DataFrame, vocab: DataFrame) -> DataFrame:
+# Vocabularies of up to so many terms are broadcast, some 100 bytes a term.
+BROADCAST_TERMS = 1_000_000
+
+
+def match_vocabulary(documents: DataFrame, vocab: DataFrame, n_terms: int | None = None) -> DataFrame:
     """Document terms that are in the vocabulary with their in-document
     counts: report_id, term, tf, idf. The join comes first: it drops the
-    out-of-vocabulary terms before anything is shuffled."""
+    out-of-vocabulary terms before anything is shuffled. n_terms: how many
+    terms the vocabulary has at most; few enough are broadcast, so that a
+    frequent term is nobody's shuffle key. Else Spark decides by size."""
     exploded = documents.select("report_id", F.explode_outer("terms").alias("term"))
-    known = exploded.join(vocab.select("term", "idf"), "term")
+    side = vocab.select("term", "idf")
+    if n_terms is not None and n_terms <= BROADCAST_TERMS:
+        side = F.broadcast(side)
+    known = exploded.join(side, "term")
     return known.groupBy("report_id", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))

@@ -203,14 +203,24 @@ def evidence_from_rows(
 
 def explain(reports: DataFrame, evidence: DataFrame, params: CascadeParams) -> DataFrame:
     """report_id, chunk_evidence: all windows of the given reports with text,
-    label and score, in window order. Pass only the reports asked about; their
-    texts are cut again rather than kept with every prediction."""
-    texts = report_windows(reports, params).select(
-        "report_id", "chunk_index", window_text(F.col("tokens")).alias("chunk_text")
+    label and score, in window order. The evidence of a report is gathered
+    into one short row and joined to the report, whose windows are cut inside
+    its row: no window text is shuffled on its own. Pass only the reports asked
+    about."""
+    facts = evidence.groupBy("report_id").agg(
+        F.sort_array(F.collect_list(F.struct("chunk_index", "top_label", "score"))).alias("facts")
     )
-    entry = F.struct("chunk_index", "chunk_text", "top_label", "score")
-    return (
-        texts.join(evidence.drop("candidates", "probabilities"), ["report_id", "chunk_index"])
-        .groupBy("report_id")
-        .agg(F.sort_array(F.collect_list(entry)).alias("chunk_evidence"))
+    windows = token_windows(
+        word_tokens(F.col("text")), params.window_tokens, params.window_overlap, params.max_windows
+    )
+    cut = reports.select("report_id", windows.alias("windows")).join(facts, "report_id")
+    told = F.transform(
+        "facts",
+        lambda f: F.struct(
+            f["chunk_index"].alias("chunk_index"),
+            window_text(F.get("windows", f["chunk_index"])).alias("chunk_text"),
+            f["top_label"].alias("top_label"),
+            f["score"].alias("score"),
+        ),
     )
+    return cut.select("report_id", told.alias("chunk_evidence"))

@@ -216,3 +216,67 @@ def test_window_cap_is_a_parameter(spark, reports, model):
     capped = dataclasses.replace(model, params=dataclasses.replace(PARAMS, max_windows=2))
     full, cut = (win.window_evidence(win.unit_scores(reports, m), m) for m in (model, capped))
     assert cut.agg(F.max("chunk_index")).first()[0] == 1 < full.agg(F.max("chunk_index")).first()[0]
+
+
+def test_classify_then_route_on_one_store(model, reports, store):
+    done = cascade.classify(reports, model, store)
+    n = done.results.count()
+    assert cascade.route(done.stages, model, store, threshold=0.0).count() == n
+    assert cascade.route(done.stages, model, store, threshold=1.0).count() == n
+
+
+def test_rows_without_a_score_are_low(spark):
+    rows = spark.createDataFrame([("a", None), ("b", 0.9)], "report_id string, score double")
+    kept, low = routing.split_by_threshold(rows, 0.6)
+    assert [r.report_id for r in kept.collect()] == ["b"] and [r.report_id for r in low.collect()] == ["a"]
+
+
+def test_failing_rows_are_rejected_or_take_candidate_one(spark, model, reports, store):
+    def answer(text, codes, attempt):
+        if len(text) % 2:
+            raise ValueError("odd")
+        return codes[-1]
+
+    scorers.register_backend("odd", lambda context: scorers.python_scorer(answer))
+    strict = dataclasses.replace(model, params=dataclasses.replace(PARAMS, threshold=1.0))
+    n, odd = reports.count(), reports.filter("length(text) % 2 = 1").count()
+    done = cascade.classify(reports, strict, store, "odd", validate=False)
+    low = done.rejects.collect()
+    assert {r.reason for r in low} <= {"scorer: ValueError: odd"} and 0 < len(low) <= odd
+    assert done.results.count() + len(low) == n
+    kept = cascade.classify(reports, strict, store, "odd", validate=False, on_error="first_candidate")
+    assert kept.results.count() == n
+    failed = kept.results.filter("reliability = 'low'").collect()
+    assert {r.report_id for r in failed} == {r.report_id for r in low}
+    assert all(r.prediction == r.top_k_candidates[0] for r in failed)
+
+
+def test_model_is_built_once_per_task(spark, model, reports, store):
+    built, rows = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def make():
+        built.add(1)
+
+        def answer(batch, attempt):
+            rows.add(len(batch))
+            return [c[0] for c in batch["candidates"]]
+
+        return answer
+
+    low = reports.withColumn("candidates", F.array(F.lit("A"), F.lit("B"))).coalesce(1)
+    assert scorers.batch_scorer(make)(low, 0).filter("raw = 'A'").count() == reports.count()
+    assert built.value == 1 and rows.value == reports.count()
+
+
+def test_own_window_scorer_in_the_cascade(reports, model, store):
+    def scorer(windows):
+        scored = F.transform("candidates", lambda c: F.struct(c.alias("label"), (c == "B").cast("double").alias("raw_score")))
+        rows = windows.filter("report_id <> 'A9'").select("report_id", "chunk_index", scored.alias("s"))
+        return rows.select("report_id", "chunk_index", F.inline("s"))
+
+    done = cascade.classify(reports, model, store, validate=False, window_scorer=scorer)
+    got = {r.report_id: r for r in done.results.collect()}
+    assert len(got) == reports.count()
+    for i, r in got.items():
+        assert r.prediction == ("B" if "B" in r.top_k_candidates and i != "A9" else r.top_k_candidates[0])
+    assert got["A9"].routing_score == -1.0

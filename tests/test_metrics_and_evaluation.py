@@ -127,10 +127,10 @@ def test_recovery_adds_up(data):
         assert r.net_gain == r.recoveries - r.regressions
 
 
-def test_subset_uses_its_own_reports(data):
+def test_subset_uses_its_own_reports(data, store):
     truth, preds, t, p = data
     some = p.filter("model = 'm1' and report_id % 4 = 0").withColumn("model", F.lit("s"))
-    got = {r.band: r for r in ev.subset_comparison(t, p.unionByName(some), "s", "base", 0.6).collect()}
+    got = {r.band: r for r in ev.subset_comparison(t, p.unionByName(some), "s", "base", 0.6, store).collect()}
     known = {i: (y, c) for i, y, c in truth}
     mine = {i: q for m, i, q in preds if m == "m1" and i % 4 == 0}
     base = {i: q for m, i, q in preds if m == "base" and i % 4 == 0}

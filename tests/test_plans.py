@@ -64,7 +64,7 @@ def test_metrics_read_only_their_columns(spark, tmp_path):
     plan = plan_of(metrics.log_metrics(log))
     check_clean(plan)
     assert "report_text" not in plan
-    filtered = plan_of(metrics.log_counts(log.filter("routed_to = 'hybrid' and created_date = date'2024-01-01'")))
+    filtered = plan_of(metrics.log_metrics(log.filter("routed_to = 'hybrid' and created_date = date'2024-01-01'")))
     assert "EqualTo(routed_to,hybrid)" in filtered and "PartitionFilters: [isnotnull(created_date" in filtered
 
 

@@ -26,6 +26,15 @@ def test_csv_with_line_breaks_quotes_and_missing_values(spark, tmp_path):
     assert sorted((r.group_id, r.label) for r in pairs) == [("P1", "BRCA"), ("P2", None)]
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("id,text,patient_filename\n1,hello,P1.A.txt\n")
+    (tmp_path / "bad.csv").write_text("id,words\n1,hello\n")
+    row = files.read_reports_csv(spark, str(tmp_path / "r.csv")).first()
+    assert tuple(row) == ("P1.A.txt", "P1", "hello")
+    with pytest.raises(ValueError):
+        files.read_reports_csv(spark, str(tmp_path / "bad.csv"))
+
+
 def test_missing_input_fails_before_any_job(spark, tmp_path):
     with pytest.raises(AnalysisException):
         files.read_reports(spark, str(tmp_path / "absent"), "a", "b")
@@ -68,6 +77,23 @@ def test_log_appends_and_replays(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(batches).collect()) == ["1", "2", "3"]
 
 
+def test_replay_after_midnight_and_append_after_stream(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for day in ("2024-01-01 23:59:59", "2024-01-02 00:00:01"):
+        rows = log_frame(spark, ["1", "2"]).withColumn("created_at", F.lit(day).cast("timestamp"))
+        prediction_log.replace_batch(rows, path, 7)
+    got = prediction_log.read_log(spark, path)
+    assert sorted(r.id for r in got.collect()) == ["1", "2"]
+    assert {str(r.created_date) for r in got.collect()} == {"2024-01-02"}
+    prediction_log.append_predictions(log_frame(spark, ["3"]), path)
+    assert sorted(r.id for r in prediction_log.read_log(spark, path).collect()) == ["1", "2", "3"]
+
+
+def test_store_gives_each_call_a_table(store, spark):
+    first, second = store.put("t", spark.range(2)), store.put("t", spark.range(5))
+    assert (first.count(), second.count()) == (2, 5)
+
+
 def test_evaluation_store(spark, tmp_path):
     path = str(tmp_path / "eval")
     assert evaluation_store.read_predictions(spark, path).count() == 0
@@ -163,3 +189,15 @@ def test_repeated_ids(spark, tmp_path):
     stream = one_by_one(spark, tmp_path, batches)
     sm.run_to_table(sm.unique_predictions(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2", "3"]
+
+
+def test_open_windows_are_stored_and_late_rows_counted(spark, tmp_path):
+    batches = [[entry(1, 0), entry(2, 59), entry(4, 50)], [entry(3, 400)], [entry(8, 401)], [entry(5, 30)], [entry(7, 900)]]
+    stream = one_by_one(spark, tmp_path, batches)
+    table = sm.windowed_metrics(stream, "1 hour", None, "1 hour")
+    query = sm.run_upserts(table, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    got = sm.latest_windows(spark, str(tmp_path / "out")).orderBy("window_start").collect()
+    assert [r.total_requests for r in got] == [3, 2, 1]
+    assert got[0].p50_latency_ms == 2.0 and got[0].p95_latency_ms == 3.8
+    assert sm.late_rows(query) == 1
