@@ -25,13 +25,15 @@ def classify_stream(
     run_id: str,
     backend: str = "window_mean",
     trigger: dict | None = None,
+    **options,
 ) -> StreamingQuery:
     """Classify a stream of report_id, text. The stages aggregate twice, so
     they run inside the batch function. Invalid rows go to the rejects table
     and the stream goes on; a failing write stops it, and the replayed batch
     overwrites its own directory: each report is logged exactly once. trigger:
     what DataStreamWriter.trigger takes, e.g. {"processingTime": "1 minute"} for
-    a stream that keeps running; by default what is there is drained."""
+    a stream that keeps running; by default what is there is drained. options
+    go to classify()."""
     spark = reports.sparkSession
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
@@ -39,7 +41,7 @@ def classify_stream(
         try:
             # One copy of the batch: a file source would be read once per stage.
             rows = store.put("batch", batch.select("report_id", "text"))
-            done = classify(rows, model, store, backend, run_id)
+            done = classify(rows, model, store, backend, run_id, **options)
             replace_batch(log_rows(done, rows), log, batch_id)
             done.rejects.write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
         finally:
