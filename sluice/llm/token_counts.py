@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import byte_texts, slices
 from sluice.llm.sketches import frequent
+from sluice.llm.tokens import missing
 
 FREQUENT, LONGEST, CACHED, LIMIT = 32_768, 64, 400_000, 4096
 _PRE_TOKENS = re.compile(rb"[ \n] *[^ \n]*")
@@ -71,20 +72,17 @@ class _Lookup:
     def counts(self, texts: list[bytes]) -> list[int]:
         chunked = [pre_tokens(t) for t in texts]
         found = [list(map(self.known.get, chunks)) for chunks in chunked]
-        unknown = list({
-            c for chunks, known in zip(chunked, found) if None in known
-            for c, n in zip(chunks, known) if n is None
-        })
+        # Places without a length, which are few, are filled in afterwards.
+        gaps = [(c, known, missing(known)) for c, known in zip(chunked, found) if None in known]
+        unknown = list({c[k] for c, _, places in gaps for k in places})
         if len(self.known) + len(unknown) > self.cached:
             self.known = dict(self.table)
         fresh = dict(zip(unknown, lengths(_model(self.path), unknown)))
         self.known.update(fresh)
-        return [
-            sum([fresh[c] if n is None else n for c, n in zip(chunks, known)])
-            if None in known
-            else sum(known)
-            for chunks, known in zip(chunked, found)
-        ]
+        for c, known, places in gaps:
+            for k in places:
+                known[k] = fresh[c[k]]
+        return list(map(sum, found))
 
 
 _LOOKUPS: dict[str, _Lookup] = {}

@@ -14,6 +14,8 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import compress, count, repeat
+from operator import is_
 
 import regex
 
@@ -25,6 +27,8 @@ _KEPT = re.compile(
 )
 _DROPPED = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff\s]+")
 _NO_LETTER = regex.compile(r"[^\x00-\x7f\p{L}]")
+# Without these bytes, all that isn't ASCII lies in U+00C0 to U+024F and is a letter.
+_NO_LATIN = re.compile(rb"[\xc2\xca-\xff]|\xc3[\x97\xb7]")
 _SPECIAL = b"<|"  # how special tokens begin
 
 
@@ -52,7 +56,7 @@ class TextEncoder:
         self.old: dict[bytes, bytes] = {}
 
     def _pre_tokens(self, text: bytes) -> list[bytes] | None:
-        if _SPECIAL in text or (not text.isascii() and _NO_LETTER.search(text.decode("utf-8", "replace"))):
+        if _SPECIAL in text or (_NO_LATIN.search(text) and _NO_LETTER.search(text.decode("utf-8", "replace"))):
             return None
         return _KEPT.findall(text) if self.spaced else _DROPPED.findall(text.lower())
 
@@ -72,19 +76,22 @@ class TextEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         cut = [self._pre_tokens(t) for t in texts]
-        found = [c and list(map(self.young.get, c)) for c in cut]
-        unknown = {
-            p for c, ids in zip(cut, found) if ids and None in ids
-            for p, known in zip(c, ids) if known is None
-        }
+        get = self.young.get
+        found = [c and list(map(get, c)) for c in cut]
+        # Places without ids, which are few, are filled in afterwards.
+        gaps = [(c, ids, missing(ids)) for c, ids in zip(cut, found) if ids and None in ids]
+        unknown = {c[k] for c, _, places in gaps for k in places}
         fresh = self._learn(unknown) if unknown else {}
+        for c, ids, places in gaps:
+            for k in places:
+                ids[k] = fresh[c[k]]
         whole = iter(self._by_library([t for t, c in zip(texts, cut) if c is None]))
-        return [
-            next(whole) if ids is None
-            else b"".join(ids) if None not in ids
-            else b"".join([fresh[p] if known is None else known for p, known in zip(c, ids)])
-            for c, ids in zip(cut, found)
-        ]
+        return [next(whole) if ids is None else b"".join(ids) for ids in found]
+
+
+def missing(values: list) -> list[int]:
+    """Places of None."""
+    return list(compress(count(), map(is_, values, repeat(None))))
 
 
 @lru_cache(maxsize=2)
