@@ -32,6 +32,7 @@ from sluice.llm.common import byte_texts, stage
 
 FEATURES, RIDGE, SEED, BINS, THRESHOLD = 384, 1e-3, 7, 4096, 0.7
 HELD_OUT, CALIBRATING = 2, 3
+AT_ONCE = 1024
 
 _LOWER = string.ascii_lowercase.encode()
 _UPPER = string.ascii_uppercase.encode()
@@ -119,7 +120,9 @@ class Model:
         return np.hstack([waves, scaled, np.ones((len(rows), 1))])
 
     def raw(self, rows: np.ndarray) -> np.ndarray:
-        return self.fourier(rows) @ self.weights
+        # Some rows at a time: the features are many times as wide.
+        parts = [self.fourier(rows[k : k + AT_ONCE]) @ self.weights for k in range(0, len(rows), AT_ONCE)]
+        return np.concatenate(parts) if parts else np.empty(0)
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -144,9 +147,11 @@ def _sums(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray] | None
             if not batch.num_rows:
                 continue
             fold = batch.column("fold")[0].as_py() if fold is None else fold
-            z = model.fourier(_matrix(batch.column("stats")))
-            gram += z.T @ z
-            moment += z.T @ batch.column("label").to_numpy().astype(float)
+            rows, marks = _matrix(batch.column("stats")), batch.column("label").to_numpy().astype(float)
+            for k in range(0, len(rows), AT_ONCE):
+                z = model.fourier(rows[k : k + AT_ONCE])
+                gram += z.T @ z
+                moment += z.T @ marks[k : k + AT_ONCE]
         if fold is not None:
             yield pa.RecordBatch.from_pydict(
                 {"fold": pa.array([fold], pa.int32()), "gram": [gram.tobytes()], "moment": [moment.tobytes()]}

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import NO_ID, byte_texts, pieces, stage
 
 SEED, WIDTH, DISTANCE = 42, 3, 2
-KEYS_IN_BUCKET = 400_000
+KEYS_IN_BUCKET = 200_000
 STRIDE = 50_000
 GOLAY_POLYNOMIAL = 0b110001110101  # fixed value: generator of the (23, 12, 7) code
 
