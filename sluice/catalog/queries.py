@@ -550,14 +550,17 @@ def candidate_recall(spark, d):
     return cand.candidate_recall(found, held_out, P.top_k).select("k", F.round("recall", 6).alias("recall"))
 
 
-def _fit_vectors(spark, d):
-    """Vectors of the split corpus, language and quality as class, over the
-    whole vocabulary of its training side."""
-    return training.split_vectors(_split(spark, d), P, StageStore(spark))[0]
+_FITTED: dict[tuple[str, str], training.Classifiers] = {}
 
 
-def _sides(vectors):
-    return vectors.filter(F.col("split") == "train"), vectors.filter(F.col("split") == "test")
+def _classifiers(spark, d) -> training.Classifiers:
+    """Both fitted models over the whole vocabulary of the training side, with
+    language and quality as class. Trained once a session and input: the
+    queries below look at the same models from different sides."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        _FITTED[key] = training.train_classifiers(_split(spark, d), P, StageStore(spark), with_full=True)
+    return _FITTED[key]
 
 
 def _is_one(total) -> F.Column:
@@ -577,9 +580,9 @@ def _best_label(labels, array) -> F.Column:
 def logistic_regression(spark, d):
     """Every held-out report: probabilities add up to 1, the prediction is the
     best of them, and the fit has reached the optimum of its objective."""
-    trained, held_out = _sides(_fit_vectors(spark, d))
-    model = linear_models.fit_logistic(trained)
-    gradient = linear_models.logistic_gradient(model, trained)
+    fitted = _classifiers(spark, d)
+    model, held_out = fitted.logistic, fitted.part("test")
+    gradient = linear_models.logistic_gradient(model, fitted.part("train"))
     return model.transform(held_out).select(
         "report_id",
         _is_one(_sum("probability")).alias("sums_to_one"),
@@ -591,8 +594,8 @@ def logistic_regression(spark, d):
 @query
 def linear_svm(spark, d):
     """Every held-out report: one decision value a class, the best is predicted."""
-    trained, held_out = _sides(_fit_vectors(spark, d))
-    model = linear_models.fit_svm(trained)
+    fitted = _classifiers(spark, d)
+    model, held_out = fitted.svm.full, fitted.part("test")
     scores = StageStore(spark).put("scores", model.scores(held_out))
     decided = cand.hard_prediction(scores, model.labels, P.tie_decimals)
     rounded = F.transform("scores", lambda s: F.round(s, P.tie_decimals))
@@ -603,10 +606,6 @@ def linear_svm(spark, d):
     )
 
 
-def _classifiers(spark, d, with_full=False) -> training.Classifiers:
-    return training.train_classifiers(_split(spark, d), P, StageStore(spark), with_full=with_full)
-
-
 @query
 def calibrated_svm(spark, d):
     """Sigmoid calibration over 5 folds: probabilities add up to 1, the best is
@@ -648,7 +647,7 @@ def holdout_scores(spark, d):
 def saved_svm_round_trip(spark, d):
     """Save and load the calibrated SVM and the logistic model, score every
     held-out report with both, count differing rows."""
-    fitted = _classifiers(spark, d, with_full=True)
+    fitted = _classifiers(spark, d)
     model, logistic, held_out = fitted.svm, fitted.logistic, fitted.part("test")
     path = StageStore(spark).path("models")
     fitted.save(path)

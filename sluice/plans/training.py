@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -116,7 +117,11 @@ def train_classifiers(
     vectors, fitted = split_vectors(corpus, params, store)
     training, test = (vectors.filter(F.col("split") == s) for s in ("train", "test"))
     folded = store.put("folds", stratified_folds(training, folds, seed=params.seed))
-    logistic, svm = fit_logistic(training), fit_calibrated(folded, folds, with_full=with_full)
+    # The iterations of either are small jobs; they share the cluster.
+    with ThreadPoolExecutor(1) as pool:
+        other = pool.submit(fit_logistic, training)
+        svm = fit_calibrated(folded, folds, with_full=with_full)
+        logistic = other.result()
     truth = test.select("report_id", "label")
     counts = holdout_scores(logistic.transform(test), truth, "logistic").unionByName(
         holdout_scores(svm.transform(test), truth, "calibrated_svm")

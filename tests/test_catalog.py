@@ -39,14 +39,3 @@ def test_query_equals_sql(spark, con, sf, name):
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns[0] == "report_id" and df.count() > 0
-
-
-@pytest.mark.parametrize("name", ["holdout_scores"])
-def test_fitted_models_equal_sql(spark, name):
-    """At the size at which every class reaches every fold."""
-    folder = "/root/testdata/sf0.01"
-    connection = duckdb.connect()
-    for t in check.TABLES:
-        connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    line = check.compare(spark, connection, folder, name, contract.oracle_sql()[name])
-    assert line.startswith("ok"), line
