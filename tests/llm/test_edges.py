@@ -1,6 +1,5 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, other columns."""
 
-import hashlib
 import random
 from collections import Counter, defaultdict
 
