@@ -4,7 +4,6 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.operators import centroids as cen
 from sluice.operators import routing, scorers
 from sluice.operators import windows as win
 from sluice.params import CascadeParams
