@@ -31,15 +31,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the smallest doc_id stays."""
+    """Of each group of linked fingerprints the row with the smallest doc_id stays."""
     return simhash.kept_documents(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold four fifths or more of a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contained_items(docs, items).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
+    # A text's hash stands for it: ids may be null or repeat.
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    found = contained_items(keyed, items, doc_id="_key").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(found, "_key", "left_anti").drop("_key")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

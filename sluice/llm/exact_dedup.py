@@ -81,6 +81,12 @@ def decisions(
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
     made = stage(docs.sparkSession, "exact_decisions", decisions(docs, doc_id, text))
+    return kept_rows(docs, made, doc_id, text)
+
+
+def kept_rows(docs: DataFrame, made: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The documents by the decisions made (doc_id, digest, kept) of their rows;
+    of rows that repeat both id and text one stays."""
     # (id, digest) of rows that go. Rows repeating both share the pair with the
     # one that stays, so they are told apart from the others and reduced last.
     key = [F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")]

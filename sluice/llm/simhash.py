@@ -24,12 +24,14 @@ linear in the group. Components are then joined in Spark, with stage tables.
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other;
 a text of fewer words than `width` has one shingle. Null ids are larger than any
-other id and come back as null; rows that repeat an id are one document. An empty
-table gives an empty result. Other columns are not read.
+other id and come back as null. Rows are linked by their fingerprints only, never
+by an id they share, be it repeated or null. An empty table gives an empty result.
+Other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import NO_ID, byte_texts, pieces, stage
+from sluice.llm.exact_dedup import kept_rows
 
 SEED, WIDTH, DISTANCE = 42, 3, 2
 KEYS_IN_BUCKET = 200_000
@@ -73,18 +76,25 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
 def fingerprints(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH
 ) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+    """doc_id, fp, digest: the fingerprint as a signed long, and the SHA-256 of
+    the text with A-Z lower-cased."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def made(batches):
         for batch in batches:
-            values = [fingerprint(t, width) for t in byte_texts(batch.column("text"))]
+            texts = byte_texts(batch.column("text"))
+            values = [fingerprint(t, width) for t in texts]
+            digests = [hashlib.sha256(t.lower()).digest() for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(values, np.uint64).view(np.int64))],
-                names=["doc_id", "fp"],
+                [
+                    batch.column("doc_id"),
+                    pa.array(np.array(values, np.uint64).view(np.int64)),
+                    pa.array(digests, pa.binary()),
+                ],
+                names=["doc_id", "fp", "digest"],
             )
 
-    return docs.mapInArrow(made, "doc_id long, fp long")
+    return docs.mapInArrow(made, "doc_id long, fp long, digest binary")
 
 
 # --- keys -------------------------------------------------------------------
@@ -230,21 +240,24 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(
+def decisions(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH
 ) -> DataFrame:
-    """doc_id, fp, component_id (smallest id reachable) for every row."""
+    """doc_id, fp, digest, component_id (smallest id reachable), kept for every
+    row. A node is a fingerprint, ranked by the smallest id of its rows. Kept is
+    the row of the smallest (id, digest) of the smallest fingerprint reachable."""
     spark = docs.sparkSession
     made = fingerprints(docs, doc_id, text, width)
     rows = stage(spark, "fingerprints", made.withColumn("id", F.coalesce("doc_id", F.lit(int(NO_ID)))))
-    nodes = stage(spark, "nodes", rows.groupBy("fp").agg(F.min("id").alias("node")))
+    first = F.min(F.struct("id", "digest")).alias("first")
+    nodes = stage(spark, "nodes", rows.groupBy("fp").agg(first).select("fp", "first"))
     count = nodes.count()
     buckets = pieces(count * 22, KEYS_IN_BUCKET, 12)
 
     def spread(batches):
         for batch in batches:
             fps = batch.column("fp").to_numpy().view(np.uint64)
-            node = batch.column("node").to_numpy()
+            ids = batch.column("id").to_numpy()
             for start in range(0, len(fps), 20_000):
                 part = fps[start : start + 20_000]
                 which, key = keys(part)
@@ -254,35 +267,47 @@ def near_duplicates(
                         pa.array(((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)),
                         pa.array(key.view(np.int64)),
                         pa.array(part[which].view(np.int64)),
-                        pa.array(node[start : start + 20_000][which]),
+                        pa.array(ids[start : start + 20_000][which]),
                     ],
-                    names=["bucket", "key", "fp", "node"],
+                    names=["bucket", "key", "fp", "id"],
                 )
 
     def linked(table: pa.Table) -> pa.Table:
         key = table.column("key").to_numpy().view(np.uint64)
-        fps = table.column("fp").to_numpy().view(np.uint64)
-        node = table.column("node").to_numpy()
-        distinct, where = np.unique(node, return_inverse=True)
-        edges = np.array(links(fps, key, where, len(distinct)), np.int64).reshape(-1, 2)
-        return pa.table({"a": distinct[edges[:, 0]], "b": distinct[edges[:, 1]]})
-
-    keyed = nodes.mapInArrow(spread, "bucket int, key long, fp long, node long")
-    edges = keyed.groupBy("bucket").applyInArrow(linked, "a long, b long")
-    grouped = components(edges)
-    owner = nodes.join(grouped, "node", "left").select(
-        "fp", F.coalesce("component", "node").alias("component")
+        fps = table.column("fp").to_numpy()
+        distinct, places, where = np.unique(fps, return_index=True, return_inverse=True)
+        ids = table.column("id").to_numpy()[places]
+        edges = np.array(links(fps.view(np.uint64), key, where, len(distinct)), np.int64).reshape(-1, 2)
+        a, b = edges[:, 0], edges[:, 1]
+        return pa.table({"a_id": ids[a], "a_fp": distinct[a], "b_id": ids[b], "b_fp": distinct[b]})
+
+    def node(side: str) -> F.Column:
+        return F.struct(F.col(f"{side}_id").alias("id"), F.col(f"{side}_fp").alias("fp")).alias(side)
+
+    keyed = nodes.select("fp", "first.id").mapInArrow(spread, "bucket int, key long, fp long, id long")
+    edges = keyed.groupBy("bucket").applyInArrow(linked, "a_id long, a_fp long, b_id long, b_fp long")
+    grouped = components(edges.select(node("a"), node("b"))).select(
+        F.col("node.fp").alias("fp"), F.col("component").alias("lead")
     )
+    own = F.struct(F.col("first.id").alias("id"), F.col("fp"))
+    owner = nodes.join(grouped, "fp", "left").select("fp", "first", F.coalesce("lead", own).alias("lead"))
     return rows.join(owner, "fp").select(
-        "doc_id", "fp", F.nullif("component", F.lit(int(NO_ID))).alias("component_id")
+        "doc_id",
+        "fp",
+        "digest",
+        F.nullif("lead.id", F.lit(int(NO_ID))).alias("component_id"),
+        ((F.col("fp") == F.col("lead.fp")) & (F.struct("id", "digest") == F.col("first"))).alias("kept"),
     )
 
 
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH
+) -> DataFrame:
+    """doc_id, fp, component_id (smallest id reachable) for every row."""
+    return decisions(docs, doc_id, text, width).select("doc_id", "fp", "component_id")
+
+
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the smallest id of their group, with all columns. An
-    id goes if none of its rows leads a group."""
-    made = stage(docs.sparkSession, "near_decisions", near_duplicates(docs, doc_id, text))
-    leads = F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_leads")
-    ids = made.groupBy(F.col("doc_id").alias("_id")).agg(leads)
-    gone = ids.filter(~F.col("_leads"))
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_id"]), "left_anti")
+    """The row with the smallest id of each group, with all columns."""
+    made = stage(docs.sparkSession, "near_decisions", decisions(docs, doc_id, text))
+    return kept_rows(docs, made, doc_id, text)

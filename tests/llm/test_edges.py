@@ -90,6 +90,24 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 == simhash.kept_documents(empty).count()
 
 
+def test_simhash_decides_by_row(spark):
+    """Null and repeated ids tie no unrelated texts."""
+    rng = random.Random(8)
+    t = [" ".join(f"v{rng.randrange(5000)}" for _ in range(300)) for _ in range(6)]
+    assert all((fingerprint(x) ^ fingerprint(y)).bit_count() > 2 for x in t for y in t if x != y)
+    made = [
+        (1, t[0]), (2, t[1]), (None, t[0] + " "), (None, t[1] + " "), (None, t[2]), (None, t[3]), (None, t[3] + " "),
+        (7, t[4]), (7, t[5]), (7, t[0] + "\n"), (8, t[5] + " "),
+    ]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    kept = [(i, x.strip()) for i, x in map(tuple, simhash.kept_documents(docs).collect())]
+    want = [(1, t[0]), (2, t[1]), (None, t[2]), (None, t[3]), (7, t[4]), (7, t[5])]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+    group = {fingerprint(x): i for i, x in want}
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(made) and all(r.component_id == group[r.fp % 2**64] for r in got)
+
+
 def test_simhash_links_large_buckets():
     """Thousands of fingerprints round one centre, in any order of keys."""
     rng = np.random.default_rng(2)
@@ -132,6 +150,17 @@ def test_decontamination(spark, docs, empty):
     assert contained_items(docs, made.limit(0)).count() == 0 == contained_items(empty, made).count()
 
 
+def test_contaminated_rows_go_alone(spark, tmp_path):
+    """Rows with the id of a contaminated one, null or repeated, stay."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, SHARED)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    made = [(None, SHARED), (None, "an own text"), (3, "x " + SHARED), (3, "one more text"), (4, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and plain(left) == sorted([made[1], made[3], made[4]], key=repr)
+
+
 def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
