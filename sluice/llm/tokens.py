@@ -2,8 +2,9 @@
 
 The two byte-pair tokenizers cut a text into pre-tokens and encode each alone,
 so the ids of a text are those of its pre-tokens in a row. Texts whose other
-than ASCII characters are all letters are cut here by byte patterns; any other
-text, and one that may hold a special token, is encoded whole by the library.
+than ASCII characters are all letters, also when normalised, are cut here by byte
+patterns; any other text, and one that may hold a special token, is encoded whole
+by the library.
 The tests hold both ways against the library on whole texts. Tokenizer files are
 opened by path on each executor; none is trained or copied.
 """
@@ -27,8 +28,9 @@ _KEPT = re.compile(
 )
 _DROPPED = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff\s]+")
 _NO_LETTER = regex.compile(r"[^\x00-\x7f\p{L}]")
-# Without these bytes, all that isn't ASCII lies in U+00C0 to U+024F and is a letter.
-_NO_LATIN = re.compile(rb"[\xc2\xca-\xff]|\xc3[\x97\xb7]")
+# Without these bytes, all that isn't ASCII lies in U+00C0 to U+024F, is a letter
+# and not U+0130.
+_NO_LATIN = re.compile(rb"[\xc2\xca-\xff]|\xc3[\x97\xb7]|\xc4\xb0")
 _SPECIAL = b"<|"  # how special tokens begin
 
 
@@ -54,9 +56,22 @@ class TextEncoder:
         # Two generations: what is used again moves on, the rest is forgotten.
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.letters: dict[str, bool] = {}
+
+    def _letter(self, char: str) -> bool:
+        """Whether it stays inside a word of the library: U+0130 and U+0958, say,
+        end in a mark when normalised, and new letters are none to old tables."""
+        if char not in self.letters:
+            made, word = _tokenizer(self.path), f"a{char}a"
+            word = made.normalizer.normalize_str(word) if made.normalizer else word
+            self.letters[char] = len(made.pre_tokenizer.pre_tokenize_str(word)) == 1
+        return self.letters[char]
+
+    def _by_letters(self, text: str) -> bool:
+        return not _NO_LETTER.search(text) and all(c < "\x80" or self._letter(c) for c in set(text))
 
     def _pre_tokens(self, text: bytes) -> list[bytes] | None:
-        if _SPECIAL in text or (_NO_LATIN.search(text) and _NO_LETTER.search(text.decode("utf-8", "replace"))):
+        if _SPECIAL in text or (_NO_LATIN.search(text) and not self._by_letters(text.decode("utf-8", "replace"))):
             return None
         return _KEPT.findall(text) if self.spaced else _DROPPED.findall(text.lower())
 

@@ -185,6 +185,24 @@ def test_token_files(spark, docs, empty):
     assert token_files.read_tokens(spark, nothing).count() == 0
 
 
+def test_letters_that_normalise_to_marks():
+    """The pre-token cache against the library, which normalises before it cuts."""
+    import sys
+
+    import regex
+    from sluice.llm.tokens import TextEncoder
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    letters = regex.findall(r"\p{L}", "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)])))
+    odd = [c for c in letters if regex.search(r"\P{L}", library.normalizer.normalize_str(c))]
+    assert "\u0130" in odd and "\u0958" in odd and len(odd) > 50
+    texts = ["BELGESİ, ANKARA", "İ.", "Wİ! x", "İstanbul'da İ"] + [f"a{c}, {c}! {c}b" for c in odd + letters[::40]]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert TextEncoder(path, False).encode([t.encode() for t in texts]) == want
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 32])
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1000, dtype=np.uint64).astype(np.uint32)
