@@ -262,6 +262,17 @@ def test_token_counts(docs, empty):
     assert token_counts(empty, PIECES).count() == 0
 
 
+def test_token_counts_of_block_characters(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(3)
+    texts = ["▁ ▂ ▃", "▁", " ▁▁", "a▁ b"] + ["".join(rng.choice("▁▁ \n▂ab") for _ in range(9)) for _ in range(300)]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(i, len(t.encode()), len(model.encode(t))) for i, t in enumerate(texts)]
+    assert plain(token_counts(made, PIECES).select("doc_id", "n_bytes", "n_tokens")) == sorted(want, key=repr)
+
+
 def test_sharding(spark, docs, empty, tmp_path):
     weights = [1.0, 2.0, 1.0, 4.0]
     placed = sharding.sharded(docs.select("doc_id", "n"), "doc_id", weights).collect()
