@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from sluice.llm import quality
 from sluice.llm.decontaminate import contained_items
 from sluice.llm.exact_dedup import decisions
+from sluice.llm.hard_negatives import hard_negatives
+from sluice.llm.lloyd import clustered
+from sluice.llm.minhash import near_duplicates as minhash_duplicates
 from sluice.llm.packing import packed_documents
 from sluice.llm.secrets import as_text, count_of, secret_spans
 from sluice.llm.sharding import sharded
@@ -159,6 +162,90 @@ def op9_secret_scan(spark, sf_dir):
     )
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+# DuckDB: vectors without null or non-finite components, as integers.
+_GRID = """SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+FROM embeddings WHERE embedding IS NOT NULL
+AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+@query
+def op11_centroid_clustering(spark, sf_dir):
+    return clustered(embeddings(spark, sf_dir))
+
+
+def _lloyd_sql(k: int = 40, rounds: int = 5) -> str:
+    """Each round: nearest centroids, then floored means; empty ones stay."""
+    nearest = """a{r} AS MATERIALIZED (SELECT vec_id, min({{'d': list_sum(list_transform(list_zip(q, c),
+lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'c': cluster}}) AS m FROM v, c{r} GROUP BY vec_id)"""
+    moved = """u{r} AS MATERIALIZED (SELECT m.c AS cluster, j, sum(q[j])::BIGINT AS s, count(*) AS n
+FROM v JOIN a{r} USING (vec_id), range(1, 65) t(j) GROUP BY ALL),
+c{n} AS MATERIALIZED (SELECT cluster, coalesce(f, c) AS c FROM c{r} LEFT JOIN (SELECT cluster,
+list((s - ((s % n) + n) % n) // n ORDER BY j) AS f FROM u{r} GROUP BY cluster) USING (cluster))"""
+    steps = [
+        f"v AS MATERIALIZED (SELECT * FROM ({_GRID}) WHERE len(q) = 64)",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS cluster, q AS c FROM
+(SELECT q, sha256('2:' || vec_id) AS h FROM v ORDER BY h, q LIMIT {k}))""",
+    ]
+    for r in range(rounds):
+        steps += [nearest.format(r=r), moved.format(r=r, n=r + 1)]
+    steps.append(nearest.format(r=rounds))
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, m.c::INT AS cluster, m.d AS distance,
+(sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia,
+sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON cluster = m.c"""
+
+
+ORACLES["op11_centroid_clustering"] = _lloyd_sql()
+
+
+@query
+def op12_minhash_near_dedup(spark, sf_dir):
+    return minhash_duplicates(documents(spark, sf_dir))
+
+
+ORACLES["op12_minhash_near_dedup"] = rf"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id
+GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.o = e.a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(o) AS component_id, doc_id = min(o) AS kept
+FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id, n.n"""
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = embeddings(spark, sf_dir).withColumn("label", label)
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_hard_negatives"] = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, q
+FROM ({_GRID}) WHERE label IS NOT NULL),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, other AS negative_id, positive_score,
+score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 5"""
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
