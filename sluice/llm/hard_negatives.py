@@ -300,7 +300,7 @@ def hard_negatives(
             lengths = batch.column("dims").to_numpy()
             for dims in np.unique(lengths).tolist():
                 own = batch.take(pa.array(np.flatnonzero(lengths == dims)))
-                matrix = np.array([widen(x, dims) for x in own.column("x").to_pylist()]).reshape(-1, dims)
+                matrix = np.array([widen(x, dims) for x in own.column("x").to_pylist()]).reshape(len(own), dims)
                 ids, uids, labels = (own.column(c).to_numpy() for c in ("id", "uid", "label"))
                 yield pa.RecordBatch.from_pylist(_packed(matrix, ids, uids, labels), _tree_schema())
 

@@ -143,45 +143,52 @@ def sharing(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 BITS = 1 << 29  # bits of a unit's rows at once
 
 
-def linked(sets: list[np.ndarray], share: tuple[int, int], forest: _Forest, places: list[int], left: int) -> None:
-    """Join in `forest` the places whose sets reach the share. Pairs of which
-    both sets are among the first `left` are compared elsewhere if left > 0."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+def linked(
+    sets: list[np.ndarray], share: tuple[int, int], forest: _Forest, first: list[int], second: list[int] | None = None
+) -> None:
+    """Join in `forest` the places whose sets reach the share: every two of
+    `first`, or each of `first` with each of `second`."""
+    both = first + (second or [])
+    order = sorted(both, key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in order], np.int64)
-    flat = np.concatenate([sets[i] for i in order])
     owner = np.repeat(np.arange(len(order)), sizes)
-    _, which, df = np.unique(flat, return_inverse=True, return_counts=True)
+    _, which, df = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
     shared = df > 1
-    number = np.cumsum(shared) - 1
     width = max(1, -(-int(shared.sum()) // 64))
     if len(order) > 2 and width * 64 * len(order) > BITS:  # fewer sets share fewer shingles
-        half = len(order) // 2
-        a, b = order[:half], order[half:]
-        for one, two in ((a, []), (b, []), (a, b)):
-            both = one + two
-            linked([sets[i] for i in both], share, forest, [places[i] for i in both], len(one) if two else 0)
+        if second is None:
+            half = len(order) // 2
+            linked(sets, share, forest, order[:half])
+            linked(sets, share, forest, order[half:])
+            linked(sets, share, forest, order[:half], order[half:])
+        else:
+            more, less = (first, second) if len(first) >= len(second) else (second, first)
+            linked(sets, share, forest, more[: len(more) // 2], less)
+            linked(sets, share, forest, more[len(more) // 2 :], less)
         return
+    number = np.cumsum(shared) - 1
     inside = shared[which]
     bit = number[which[inside]]
     rows = np.zeros((len(order), width), np.uint64)
     np.bitwise_or.at(rows, (owner[inside], bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
     low, high = share
-    side = np.array([i < left for i in order])
-    root = np.array([forest.root(places[i]) for i in order])
+    members = set(first)
+    side = np.array([i in members for i in order])
+    root = np.array([forest.root(i) for i in order])
     for i in range(len(order)):
         # Sorted by size: later sets are as large, and at most size * high / low.
         stop = np.searchsorted(sizes, sizes[i] * high // low, side="right")
         rest = np.arange(i + 1, stop)
         rest = rest[root[rest] != root[i]]
-        if left:
+        if second is not None:
             rest = rest[side[rest] != side[i]]
         for start in range(0, len(rest), 4096):
             some = rest[start : start + 4096]
-            both = np.bitwise_count(rows[some] & rows[i]).sum(axis=1, dtype=np.int64)
-            hit = some[high * both >= low * (sizes[some] + sizes[i] - both)]
+            common = np.bitwise_count(rows[some] & rows[i]).sum(axis=1, dtype=np.int64)
+            hit = some[high * common >= low * (sizes[some] + sizes[i] - common)]
             for j in hit.tolist():
                 if root[j] != root[i]:
-                    forest.join(places[order[i]], places[order[j]])
+                    forest.join(order[i], order[j])
                     root[root == root[j]] = root[i]
 
 
@@ -260,18 +267,20 @@ def _meet(table: pa.Table) -> pa.Table:
 
 def _verify(share: tuple[int, int]):
     def verified(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("cluster", "ascending"), ("p", "ascending"), ("q", "ascending"), ("part", "ascending")])
+        table = table.sort_by([("cluster", "ascending"), ("p", "ascending"), ("q", "ascending")])
         n = table.num_rows
         names = [table.column(c).to_numpy() for c in ("cluster", "p", "q")]
-        part, p, q = table.column("part").to_numpy(), names[1], names[2]
+        p, q, part = names[1], names[2], table.column("part").to_numpy()
         fresh = np.append(True, np.any([x[1:] != x[:-1] for x in names], axis=0))
         starts = np.flatnonzero(fresh)
         sets = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
         forest = _Forest(n)
         for a, b in zip(starts.tolist(), np.append(starts[1:], n).tolist()):
-            left = int((part[a:b] == p[a]).sum()) if p[a] != q[a] else 0
-            if b - a > left:
-                linked(sets[a:b], share, forest, list(range(a, b)), left)
+            here = np.arange(a, b)
+            if p[a] == q[a]:
+                linked(sets, share, forest, here.tolist())
+            else:  # each part compares its own rows in a unit of its own
+                linked(sets, share, forest, here[part[a:b] == p[a]].tolist(), here[part[a:b] == q[a]].tolist())
         edges = np.array(forest.edges, np.int64).reshape(-1, 2)
         ids, nodes = table.column("id").to_numpy(), table.column("node").to_numpy()
         a, b = edges[:, 0], edges[:, 1]

@@ -249,7 +249,7 @@ def test_bit_rows_in_pieces(monkeypatch):
     base = rng.integers(0, 1 << 40, 200, dtype=np.uint64)
     sets = [np.unique(np.append(rng.permutation(base)[: rng.integers(150, 200)], base[:100])) for _ in range(40)]
     full, cut = minhash._Forest(40), minhash._Forest(40)
-    minhash.linked(sets, (80, 100), full, list(range(40)), 0)
+    minhash.linked(sets, (80, 100), full, list(range(40)))
     monkeypatch.setattr(minhash, "BITS", 1 << 10)
-    minhash.linked(sets, (80, 100), cut, list(range(40)), 0)
+    minhash.linked(sets, (80, 100), cut, list(range(40)))
     assert [full.root(i) for i in range(40)] == [cut.root(i) for i in range(40)] and len(full.edges) > 10
