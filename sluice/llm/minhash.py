@@ -16,8 +16,8 @@ to some ten million, 4 up to ten billion.
 
 Equal sets are one node, so copies cost nothing. Each batch of nodes first joins
 those that share a key inside it, so of a key that very many nodes share a batch
-sends one row; keys are packed in bucket blocks. A bucket gives a spanning forest
-of who shares a key, never pairs. The components of these forests, the clusters,
+sends one row; keys are packed in bucket blocks. A bucket gives one spanning
+forest of who shares any of its keys, never pairs; it sorts its keys part by part. The components of these forests, the clusters,
 hold every candidate pair. Only the sets of clustered nodes move: clusters up to
 UNIT_BYTES are dealt into tasks whole, larger ones are cut into parts, and every
 two parts of one cluster meet in a unit of their own. There, in order of size, a
@@ -43,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,12 +54,13 @@ from sluice.session import StageStore
 
 WIDTH, SHARE = 2, (80, 100)
 COLLECTIONS, DEPTH = 20, 3
-BUCKET_BYTES, UNIT_BYTES, TASK_BYTES = 8 << 20, 4 << 20, 16 << 20
+BUCKET_BYTES, UNIT_BYTES, TASK_BYTES = 64 << 20, 4 << 20, 16 << 20
+SUBS = 16  # a bucket's keys are sorted in so many parts, one at a time
 BROADCAST_ROWS = 4_000_000
 HOT_KEYS = 1_000
 _WORDS = WordHashes()
 _ROW = "doc_id long, n_shingles long, digest binary, bands binary, shingles binary"
-_BLOCK = "bucket int, n int, keys binary, nodes binary"
+_BLOCK = "bucket int, sub int, keys binary, nodes binary"
 
 
 # --- sets and keys ----------------------------------------------------------
@@ -132,12 +134,17 @@ def sharing(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ranked, owner = keys[order], nodes[order]
     fresh = np.append(True, ranked[1:] != ranked[:-1]) if len(ranked) else np.empty(0, bool)
     same = np.flatnonzero(~fresh)
-    pairs = np.unique(np.stack([owner[same - 1], owner[same]], axis=1), axis=0)
+    return forest_of(np.stack([owner[same - 1], owner[same]], axis=1)), order[fresh]
+
+
+def forest_of(pairs: np.ndarray) -> np.ndarray:
+    """Those of the pairs of nodes that make a spanning forest."""
+    pairs = np.unique(pairs, axis=0)
     named, where = np.unique(pairs, return_inverse=True)
     forest = _Forest(len(named))
     for x, y in where.reshape(-1, 2).tolist():
         forest.join(x, y)
-    return named[np.array(forest.edges, np.int64).reshape(-1, 2)], order[fresh]
+    return named[np.array(forest.edges, np.int64).reshape(-1, 2)]
 
 
 BITS = 1 << 29  # bits of a unit's rows at once
@@ -240,28 +247,33 @@ def _spread(collections: int, buckets: int):
                 own = (edges[:, 0] * 31 + edges[:, 1]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
                 key = np.concatenate([key[first], own, own])
                 owner = np.concatenate([owner[first], edges[:, 0], edges[:, 1]])
-                bucket = (key >> np.uint64(40)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                found, begins = np.unique(bucket[order], return_index=True)
+                block = (key >> np.uint64(32)) % np.uint64(buckets * SUBS)
+                order = np.argsort(block, kind="stable")
+                found, begins = np.unique(block[order].astype(np.int32), return_index=True)
                 stops = np.append(begins[1:], len(order))
                 key, owner = key[order], owner[order]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(found.astype(np.int32)),
-                        pa.array((stops - begins).astype(np.int32)),
+                        pa.array(found // SUBS),
+                        pa.array(found % SUBS),
                         pa.array([key[a:b].tobytes() for a, b in zip(begins, stops)], pa.binary()),
                         pa.array([owner[a:b].tobytes() for a, b in zip(begins, stops)], pa.binary()),
                     ],
-                    names=["bucket", "n", "keys", "nodes"],
+                    names=["bucket", "sub", "keys", "nodes"],
                 )
 
     return blocks
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-    nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
-    edges, _ = sharing(keys, nodes)
+    table = table.select(["sub", "keys", "nodes"])
+    found = []
+    for sub in range(SUBS):
+        part = table.filter(pc.equal(table.column("sub"), sub))
+        keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), np.uint64)
+        nodes = np.frombuffer(b"".join(part.column("nodes").to_pylist()), np.int64)
+        found.append(sharing(keys, nodes)[0])
+    edges = forest_of(np.concatenate(found))
     return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
 
