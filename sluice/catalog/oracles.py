@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sluice.catalog.fitted_sql import fitted_oracles
 from sluice.catalog.fixtures import ANCHORS, PARAMS
 from sluice.functions.text import WORD_PATTERN
 from sluice.params import REFERENCE_WINDOWS
@@ -244,7 +245,7 @@ _DIM_NAME = "'documents in ' || split_part(label, '-', 1) || ' of quality ' || s
 
 
 def oracles() -> dict[str, str]:
-    sql: dict[str, str] = {}
+    sql: dict[str, str] = fitted_oracles()
 
     # sources and sinks
     sql["scan_reports"] = _REPORTS

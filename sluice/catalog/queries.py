@@ -13,7 +13,7 @@ from sluice.functions import answers, text
 from sluice.operators import candidates as cand
 from sluice.operators import centroids as cen
 from sluice.operators import evaluation as ev
-from sluice.operators import joins, linear_models, metrics, routing, scorers, splits
+from sluice.operators import joins, linear_models, metrics, routing, scorers, splits, squared_hinge
 from sluice.operators import vectors as vec
 from sluice.operators import vocabulary as voc
 from sluice.operators import windows as win
@@ -550,14 +550,16 @@ def candidate_recall(spark, d):
     return cand.candidate_recall(found, held_out, P.top_k).select("k", F.round("recall", 6).alias("recall"))
 
 
-_FITTED: dict[tuple[str, str], training.Classifiers] = {}
+_FITTED: dict[tuple[str, int], training.Classifiers] = {}
 
 
 def _classifiers(spark, d) -> training.Classifiers:
     """Both fitted models over the whole vocabulary of the training side, with
-    language and quality as class. Trained once a session and input: the
-    queries below look at the same models from different sides."""
-    key = (spark.sparkContext.applicationId, d)
+    language and quality as class. Trained once a session and input (by its
+    digest, so a table that is written anew is trained on anew): the queries below look at the same models from different sides."""
+    parts = [fx.reports(spark, d), fx.labels(spark, d)]
+    digest = [p.agg(F.bit_xor(F.xxhash64(*p.columns))).first()[0] or 0 for p in parts]
+    key = (spark.sparkContext.applicationId, hash(tuple(digest)))
     if key not in _FITTED:
         _FITTED[key] = training.train_classifiers(_split(spark, d), P, StageStore(spark), with_full=True)
     return _FITTED[key]
@@ -643,6 +645,88 @@ def holdout_scores(spark, d):
     )
 
 
+_SMALL_LABELS = ["a", "b", "c"]
+
+
+def _small(spark, d) -> DataFrame:
+    """report_id, label, fold, tfidf: two features of the embeddings, three
+    classes, some of them mislabelled. Small enough for SQL to fit it too."""
+    e = [F.get("embedding", F.lit(i)).cast("double") for i in range(2)]
+    label = F.when(F.col("vec_id") % 11 == 0, "c").when(e[0] > 0.05, "a").when(e[1] > 0.05, "b").otherwise("c")
+    rows = fx.table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("report_id"),
+        label.alias("label"),
+        (F.col("vec_id") % 5).cast("int").alias("fold"),
+        array_to_vector(F.array(*[16.0 * x for x in e])).alias("tfidf"),
+    )
+    return StageStore(spark).put("small", rows)
+
+
+def _to_5(column, name: str) -> F.Column:
+    return F.round(column, 5).alias(name)
+
+
+@query
+def squared_hinge_svm(spark, d):
+    """Weights and objective of each class, for each of five folds left out and
+    for all rows (-1), fitted in the same passes."""
+    solved = squared_hinge.fit_squared_hinge(
+        _small(spark, d), _SMALL_LABELS, [0, 1, 2, 3, 4, None], StageStore(spark), tolerance=1e-11
+    )
+    rows = [
+        (-1 if p.fold is None else p.fold, _SMALL_LABELS[p.label], *map(float, solved.weights[:, i]), float(f))
+        for i, (p, f) in enumerate(zip(solved.problems, solved.objective))
+    ]
+    shape = "fold int, label string, w0 double, w1 double, intercept double, objective double"
+    numbers = ("w0", "w1", "intercept", "objective")
+    return spark.createDataFrame(rows, shape).select("fold", "label", *[_to_5(F.col(c), c) for c in numbers])
+
+
+def _small_calibrated(spark, d) -> tuple[linear_models.CalibratedSvm, DataFrame]:
+    rows = _small(spark, d)
+    return linear_models.fit_calibrated(rows, StageStore(spark), 5, with_full=True, tolerance=1e-11), rows
+
+
+@query
+def sigmoid_calibration(spark, d):
+    """Slope and intercept of each fold and class."""
+    model, _ = _small_calibrated(spark, d)
+    rows = [(f, c, *ab) for f, (_, sig) in enumerate(model.folds) for c, ab in zip(_SMALL_LABELS, sig)]
+    return spark.createDataFrame(rows, "fold int, label string, slope double, intercept double").select(
+        "fold", "label", _to_5(F.col("slope"), "slope"), _to_5(F.col("intercept"), "intercept")
+    )
+
+
+@query
+def calibrated_probabilities(spark, d):
+    """Probabilities averaged over the folds, the best of them, its class."""
+    model, rows = _small_calibrated(spark, d)
+    each = [_to_5(F.col("probability")[i], f"p_{c}") for i, c in enumerate(_SMALL_LABELS)]
+    return model.transform(rows).select(
+        "report_id", "prediction", _to_5(F.col("best_probability"), "best_probability"), *each
+    )
+
+
+@query
+def fold_decisions(spark, d):
+    """Decision values of the first fold's SVM, by which candidates are ranked."""
+    model, rows = _small_calibrated(spark, d)
+    scores = StageStore(spark).put("scores", model.decision_scores(rows))
+    decided = cand.hard_prediction(scores, model.labels, P.tie_decimals).select("report_id", "prediction")
+    each = [_to_5(F.col("scores")[i], f"s_{c}") for i, c in enumerate(_SMALL_LABELS)]
+    return scores.join(decided, "report_id").select("report_id", *each, "prediction")
+
+
+@query
+def calibrated_quality(spark, d):
+    """Accuracy and macro F1 of the calibrated SVM, as figures."""
+    model, rows = _small_calibrated(spark, d)
+    truth = rows.select("report_id", "label")
+    counts = linear_models.holdout_scores(model.transform(rows), truth, "svm")
+    table = ev.accuracy(counts, "model").join(ev.f1_scores(counts, "model"), "model")
+    return table.select(F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"))
+
+
 @query
 def saved_svm_round_trip(spark, d):
     """Save and load the calibrated SVM and the logistic model, score every

@@ -120,7 +120,7 @@ def train_classifiers(
     # The iterations of either are small jobs; they share the cluster.
     with ThreadPoolExecutor(1) as pool:
         other = pool.submit(fit_logistic, training)
-        svm = fit_calibrated(folded, folds, with_full=with_full)
+        svm = fit_calibrated(folded, store, folds, with_full=with_full)
         logistic = other.result()
     truth = test.select("report_id", "label")
     counts = holdout_scores(logistic.transform(test), truth, "logistic").unionByName(
