@@ -361,6 +361,10 @@ FROM documents"""
     sql["vocabulary_cap"] = _with(
         {**_TERM_PARTS, **_vocabulary_parts(train=False, max_features=5_000)}, "SELECT term, tf, df FROM vocab"
     )
+    sql["frequent_vocabulary"] = _with(
+        {**_TERM_PARTS, **_vocabulary_parts(train=False, max_features=5_000)},
+        "SELECT term, tf, df, round(idf, 6) AS idf FROM vocab",
+    )
     sql["vocabulary_size"] = _with(_WHOLE_VOCAB, "SELECT count(*) AS n_terms FROM vocab")
     per_report = """SELECT o.report_id, o.term, count(*) AS tf, any_value(v.idf) AS idf
 FROM occurrences o JOIN vocab v USING (term) GROUP BY o.report_id, o.term"""

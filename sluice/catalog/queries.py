@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from sluice.functions import answers, text
 from sluice.operators import candidates as cand
 from sluice.operators import centroids as cen
 from sluice.operators import evaluation as ev
+from sluice.operators import frequent_terms
 from sluice.operators import joins, linear_models, metrics, routing, scorers, splits, squared_hinge
 from sluice.operators import vectors as vec
 from sluice.operators import vocabulary as voc
@@ -425,6 +427,16 @@ def vocabulary_cap(spark, d):
     return _vocabulary(spark, d, max_features=5_000).select("term", "tf", "df")
 
 
+@query
+def frequent_vocabulary(spark, d):
+    """The same by way of the Count-Min filter: most n-grams are never shuffled."""
+    params = replace(P, max_features=5_000)
+    documents = voc.report_terms(fx.reports(spark, d), params)
+    return frequent_terms.frequent_vocabulary(documents, params, StageStore(spark), width=1 << 17).select(
+        "term", "tf", "df", F.round("idf", 6).alias("idf")
+    )
+
+
 @query
 def vocabulary_size(spark, d):
     return _vocabulary(spark, d).agg(F.count(F.lit(1)).alias("n_terms"))

@@ -16,11 +16,10 @@ def report_terms(df: DataFrame, params: CascadeParams, *keep: str) -> DataFrame:
     return add_terms(tokens, "tokens", params.stop_words, params.ngram_max)
 
 
-def term_statistics(documents: DataFrame) -> DataFrame:
-    """term, tf (occurrences), df (documents). Each term array is sorted and
+def term_occurrences(documents: DataFrame) -> DataFrame:
+    """term, is_new: a row for each occurrence. Each term array is sorted and
     laid beside itself, shifted by one, so a term that differs from the one
-    before it stands for the document: one grouping by term with map-side
-    sums, none by document."""
+    before it (is_new) stands for the document."""
     ordered = documents.select(F.sort_array("terms").alias("term"))
     size = F.greatest(F.size("term") - 1, F.lit(0))
     shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice("term", F.lit(1), size))
@@ -29,15 +28,19 @@ def term_statistics(documents: DataFrame) -> DataFrame:
     pairs = ordered.select("term", shifted.alias("before")).select(
         F.explode_outer(F.arrays_zip("term", "before")).alias("x")
     )
-    return (
-        pairs.select("x.term", "x.before")
-        .filter(F.col("term").isNotNull())
-        .groupBy("term")
-        .agg(
-            F.count(F.lit(1)).alias("tf"),
-            F.count_if(~F.col("term").eqNullSafe(F.col("before"))).alias("df"),
-        )
-    )
+    met = pairs.select("x.term", "x.before").filter(F.col("term").isNotNull())
+    return met.select("term", (~F.col("term").eqNullSafe(F.col("before"))).alias("is_new"))
+
+
+def counted_terms(occurrences: DataFrame) -> DataFrame:
+    """term, tf, df: one grouping by term with map-side sums."""
+    counts = [F.count(F.lit(1)).alias("tf"), F.count_if("is_new").alias("df")]
+    return occurrences.groupBy("term").agg(*counts)
+
+
+def term_statistics(documents: DataFrame) -> DataFrame:
+    """term, tf (occurrences), df (documents)."""
+    return counted_terms(term_occurrences(documents))
 
 
 def vocabulary(
