@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.answers import reject_reason
+from sluice.operators import row_windows
 from sluice.operators.candidates import report_scores, top_candidates
 from sluice.operators.centroids import CentroidModel
 from sluice.operators.routing import (
@@ -54,7 +55,7 @@ def run_stages(
     """Score all reports and decide. Both tables are stored: routing reads
     the decisions twice, explanations and re-routing come later. A caller may
     bring its own candidates and its own scorer of windows (scale: of the
-    softmax over its raw scores)."""
+    softmax over its raw scores). Report ids are unique."""
     started = time.perf_counter()
     if window_scorer is not None:
         if candidates is None:
@@ -62,6 +63,8 @@ def run_stages(
             p = model.params
             candidates = store.put("candidates", top_candidates(scores, model.labels, p.top_k, p.tie_decimals))
         found = own_evidence(reports, candidates, window_scorer, model.params, scale)
+    elif row_windows.fits(model):
+        found = row_windows.row_evidence(reports, model, candidates)
     else:
         found = window_evidence(unit_scores(reports, model), model, candidates)
     evidence = store.put("evidence", found)
@@ -156,9 +159,9 @@ def classify(
         )
         good = good.join(mixed, "report_id", "left_anti")
     candidates = None if stage1 is None else store.put("candidates", stage1(good).distinct())
-    stages = run_stages(good, model, store, candidates, window_scorer, scale)
-    started = time.perf_counter()
     texts = good if copies is None else good.dropDuplicates(["report_id"])
+    stages = run_stages(texts, model, store, candidates, window_scorer, scale)
+    started = time.perf_counter()
     routed = store.put("routed", route(stages, model, store, backend, reports=texts))
     stages.seconds["routing"] = time.perf_counter() - started
     if on_error == "reject":
