@@ -795,7 +795,7 @@ def vector_centroids(spark, d):
         F.col("label").cast("string").alias("label"),
         array_to_vector(F.col("embedding").cast("array<double>")).alias("tfidf"),
     )
-    rows = cen.class_centroids(vectors).withColumnRenamed("idx", "pos")
+    rows = cen.class_centroids(vectors, StageStore(spark)).withColumnRenamed("idx", "pos")
     return rows.select("label", "n_rows", "pos", (F.round("w", 4) + 0.0).alias("w"))
 
 

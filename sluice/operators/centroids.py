@@ -60,21 +60,26 @@ class CentroidModel:
         )
 
 
-def class_centroids(vectors: DataFrame) -> DataFrame:
+def class_centroids(vectors: DataFrame, store: StageStore) -> DataFrame:
     """label, idx, n_rows, w from (label, tfidf): the unit mean vector of each
-    class, without zeros. Entries are summed by (label, idx) on the map side
-    and spread over idx, so no reducer holds a class; only the lengths, one
-    number a class, are gathered by label. A class of empty vectors has one row
-    with NULL idx."""
-    sizes = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
-    sums = (
-        vector_entries(vectors, "label").groupBy("label", "idx").agg(F.sum("w").alias("s"))
-    ).filter(F.col("idx").isNotNull() & (F.col("s") != 0))
-    lengths = sums.groupBy("label").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("length"))
-    about = sizes.join(lengths, "label", "left")  # one row a class
-    return about.join(sums, "label", "left").select(
+    class, without zeros. Entries and rows are summed by (label, idx) on the map
+    side, in one pass over the vectors, and spread over idx, so no reducer holds
+    a class; the stored sums give the rest, one row a class. A class of empty
+    vectors has one row with NULL idx."""
+    one_pass = vector_entries(vectors, "label").groupBy("label", "idx").agg(
+        F.sum("w").alias("s"), F.count_if("begins").alias("n")
+    )
+    sums = store.put("class_sums", one_pass)
+    square = F.when(F.col("idx").isNotNull(), F.col("s") * F.col("s")).otherwise(0.0)
+    about = sums.groupBy("label").agg(F.sum("n").alias("n_rows"), F.sqrt(F.sum(square)).alias("length"))
+    entries = sums.filter(F.col("idx").isNotNull() & (F.col("s") != 0)).select("label", "idx", "s")
+    full = entries.join(F.broadcast(about), "label").select(
         "label", "idx", "n_rows", (F.col("s") / F.col("length")).alias("w")
     )
+    none = about.filter("length = 0").select(
+        "label", F.lit(None).cast("int").alias("idx"), "n_rows", F.lit(None).cast("double").alias("w")
+    )
+    return full.unionByName(none)
 
 
 def weight_table(centroids: DataFrame, labels: tuple[str, ...]) -> DataFrame:
@@ -106,7 +111,7 @@ def fit_centroids(train: DataFrame, params: CascadeParams, store: StageStore) ->
     fitted = vectorizer(vocab, params)
     centroids = store.put(
         "centroids",
-        class_centroids(fitted.transform(documents).select("label", "tfidf")),
+        class_centroids(fitted.transform(documents).select("label", "tfidf"), store),
     )
     names = centroids.select("label").distinct().orderBy("label").limit(params.max_labels + 1)
     labels = tuple(r.label for r in names.collect())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.operators.ranking import cutoff, first_by_hash, hash_order, rank_within
@@ -25,15 +25,19 @@ def group_split(
     Where the groups lie is decided once, as one or two cut-off hashes; each
     row then compares its own hash with them, so no row moves and a group may
     be of any size. Groups are NULL only in unlabelled data: they train.
-    groups: the groups of df as a stored table, so that df isn't computed once
-    more for each edge."""
+    groups: the groups of df as a stored table. Then df isn't computed once more
+    for each edge, and the edges are found at once, not again by every reader."""
     h = hash_order(F.col(group), seed)
     keys = (df if groups is None else groups).filter(F.col(group).isNotNull()).select(group)
-    test_edge = cutoff(keys, group, seed, _share_of_groups(test_share)).scalar()
-    branch = F.when(h <= test_edge, "test")
+
+    def edge(wanted: Column) -> Column:
+        found = cutoff(keys, group, seed, wanted)
+        return found.scalar() if groups is None else F.lit(found.first().h)
+
+    branch = F.when(h <= edge(_share_of_groups(test_share)), "test")
     if validation_share:
         both = _share_of_groups(test_share) + _share_of_groups(validation_share)
-        branch = branch.when(h <= cutoff(keys, group, seed, both).scalar(), "validation")
+        branch = branch.when(h <= edge(both), "validation")
     return df.withColumn("split", branch.otherwise("train"))
 
 

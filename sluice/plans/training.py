@@ -44,13 +44,13 @@ def split_corpus(
     key: str = "group_id",
     validation_share: float = 0.0,
 ) -> DataFrame:
-    """The labelled corpus, joined and written once, with its split; where the
-    sides end follows from the stored groups, which are short rows."""
-    corpus = store.put("corpus", labelled_corpus(reports, labels, key))
+    """The labelled corpus, joined, dealt out and written once, with its split;
+    where the sides end follows from the stored groups, which are short rows."""
+    corpus = store.put("corpus", spread_small(labelled_corpus(reports, labels, key)))
     groups = store.put("groups", corpus.select("group_id").distinct())
-    return group_split(
-        spread_small(corpus), "group_id", params.test_share, params.seed, validation_share, groups
-    ).select("report_id", "group_id", "text", "label", "split")
+    return group_split(corpus, "group_id", params.test_share, params.seed, validation_share, groups).select(
+        "report_id", "group_id", "text", "label", "split"
+    )
 
 
 def train(
