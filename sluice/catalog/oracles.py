@@ -336,6 +336,11 @@ FROM split_rows GROUP BY split""",
         {"marks": _LABELS},
         f"""SELECT report_id, label, ((row_number() OVER (PARTITION BY label ORDER BY {_hash('report_id')}) - 1) % 5)::INT AS fold
 FROM marks""",
+    )
+    sql["stratified_group_folds"] = _with(
+        _CORPUS_PARTS,
+        """SELECT group_id AS name, count(*) AS n_rows, 1::BIGINT AS n_folds, true AS balanced FROM corpus GROUP BY ALL
+UNION ALL SELECT label, count(*), 5, true FROM corpus GROUP BY ALL""",
     )
     sql["group_folds"] = f"""SELECT doc_id AS report_id, (('0x' || substr({_hash('source')}, 1, 8))::BIGINT % 5)::INT AS fold
 FROM documents"""
@@ -357,6 +362,9 @@ FROM documents"""
         "SELECT report_id, len(terms) AS n_terms, md5(array_to_string(terms, '|')) AS digest FROM doc_terms",
     )
     sql["term_statistics"] = _with(_WHOLE_VOCAB, f"SELECT term, tf, df FROM stats WHERE df >= {P.min_df}")
+    of = "count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events"
+    sql["sketched_percentiles"] = f"""SELECT event_type AS routed_to, {of} GROUP BY event_type
+UNION ALL SELECT 'all', {of}"""
     sql["vocabulary"] = _with(_WHOLE_VOCAB, "SELECT term, tf, df, round(idf, 6) AS idf FROM vocab")
     sql["vocabulary_cap"] = _with(
         {**_TERM_PARTS, **_vocabulary_parts(train=False, max_features=5_000)}, "SELECT term, tf, df FROM vocab"

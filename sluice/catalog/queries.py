@@ -15,7 +15,7 @@ from sluice.operators import candidates as cand
 from sluice.operators import centroids as cen
 from sluice.operators import evaluation as ev
 from sluice.operators import frequent_terms
-from sluice.operators import joins, linear_models, metrics, routing, scorers, splits, squared_hinge
+from sluice.operators import joins, latency_sketches, linear_models, metrics, routing, scorers, splits, squared_hinge
 from sluice.operators import vectors as vec
 from sluice.operators import vocabulary as voc
 from sluice.operators import windows as win
@@ -367,6 +367,31 @@ def stratified_folds(spark, d):
     return splits.stratified_folds(fx.labels(spark, d), 5, seed=P.seed).select("report_id", "label", "fold")
 
 
+@query
+def stratified_group_folds(spark, d):
+    """Every group, its rows and in how many folds they are; for every label and
+    fold, whether its rows are within the largest group of a fifth of them."""
+    corpus = joins.labelled_corpus(fx.reports(spark, d), fx.labels(spark, d), "report_id")
+    short = corpus.select("report_id", "group_id", "label")
+    rows = StageStore(spark).put("folds", splits.stratified_group_folds(short, StageStore(spark)))
+    groups = rows.groupBy(F.col("group_id").alias("name")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("fold").alias("n_folds"), F.lit(True).alias("balanced")
+    )
+    largest = rows.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = largest.groupBy("label").agg(F.max("n").alias("most"))
+    cells = rows.groupBy("label").pivot("fold", list(range(5))).agg(F.count(F.lit(1))).na.fill(0)
+    by_fold = F.array(*[F.col(str(f)) for f in range(5)])
+    total = F.aggregate(by_fold, F.lit(0).cast("long"), lambda a, x: a + x)
+    off = F.array_max(F.transform(by_fold, lambda n: F.abs(n - total / 5)))
+    labels = cells.join(largest, "label").select(
+        F.col("label").alias("name"),
+        total.alias("n_rows"),
+        F.lit(5).cast("long").alias("n_folds"),
+        (off <= F.col("most") + 1).alias("balanced"),
+    )
+    return groups.unionByName(labels)
+
+
 @query
 def group_folds(spark, d):
     return splits.group_folds(fx.reports(spark, d), 5, seed=P.seed).select("report_id", "fold")
@@ -1076,6 +1101,22 @@ def latency_percentiles(spark, d):
     return metrics.latency_percentiles(fx.prediction_log(spark, d), ["routed_to"])
 
 
+@query
+def sketched_percentiles(spark, d):
+    """Percentiles of latencies with fractions, by backend and overall, from
+    stored sketches of each day and backend; one day is stored twice."""
+    events = fx.table(spark, d, "events")
+    log = events.select(F.to_date("ts").alias("day"), F.col("event_type").alias("routed_to"), "value")
+    path = StageStore(spark).path("sketches")
+    made = latency_sketches.latency_sketches(log, ["day", "routed_to"], "value", k=32_768)
+    latency_sketches.store_sketches(made, path)
+    latency_sketches.store_sketches(made.filter("day = DATE'2024-01-05'"), path)
+    stored = latency_sketches.read_sketches(spark, path)
+    by_backend = latency_sketches.rolled_up(stored, ["routed_to"], k=32_768)
+    whole = latency_sketches.rolled_up(stored, k=32_768).withColumn("routed_to", F.lit("all"))
+    return by_backend.unionByName(whole)
+
+
 # --- evaluation -------------------------------------------------------------
 
 
