@@ -362,6 +362,15 @@ FROM documents"""
         "SELECT report_id, len(terms) AS n_terms, md5(array_to_string(terms, '|')) AS digest FROM doc_terms",
     )
     sql["term_statistics"] = _with(_WHOLE_VOCAB, f"SELECT term, tf, df FROM stats WHERE df >= {P.min_df}")
+    backend = "CASE WHEN event_type IN ('click', 'view') THEN 'hybrid' ELSE event_type END"
+    sql["stream_first_predictions"] = f"""SELECT 'first' AS status, {backend} AS routed_to, count(*) AS n
+FROM events GROUP BY ALL UNION ALL SELECT 'conflict', 'other', count(*) FROM events WHERE event_id % 10 = 0"""
+    sql["stream_late_rows"] = f"""WITH e AS (SELECT *, {backend} AS b,
+ts < TIMESTAMP '2024-01-15' AND event_id % 7 = 0 AS late FROM events),
+m AS (SELECT epoch(date_trunc('second', max(ts) - INTERVAL 1 DAY))::BIGINT AS mark FROM e WHERE NOT late)
+SELECT CASE WHEN late THEN 'behind the watermark' ELSE 'logged' END AS kind, b AS routed_to, count(*) AS n,
+sum(CASE WHEN late THEN mark - epoch(date_trunc('second', ts))::BIGINT ELSE 0 END)::BIGINT AS seconds_behind
+FROM e, m GROUP BY ALL"""
     of = "count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events"
     sql["sketched_percentiles"] = f"""SELECT event_type AS routed_to, {of} GROUP BY event_type
 UNION ALL SELECT 'all', {of}"""

@@ -26,6 +26,7 @@ from sluice.sources import evaluation_store, labels, prediction_log
 from sluice.sources import reports as report_files
 from sluice.streaming import classify as stream_classify
 from sluice.streaming import metrics as stream_metrics
+from sluice.streaming import unique as stream_unique
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1267,6 +1268,45 @@ def _windowed(spark, d, slide):
     )
 
 
+def _sent_again(spark, d, *parts) -> DataFrame:
+    """A stream of the log's rows, part after part, each one micro-batch."""
+    store, files = StageStore(spark), 4
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(store.path("in"))
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(store.path("in"))
+
+
+@query
+def stream_first_predictions(spark, d):
+    """Every row sent again two days later, a tenth with another backend: ids
+    stay unique, differing repeats are reported."""
+    log = fx.prediction_log(spark, d).select("id", "routed_to", "latency_ms", "created_at")
+    other = F.when(F.col("id").cast("long") % 10 == 0, "other").otherwise(F.col("routed_to"))
+    later = F.col("created_at") + F.expr("INTERVAL 2 DAYS")
+    again = log.withColumn("routed_to", other).withColumn("created_at", later)
+    rows, store = stream_unique.first_predictions(_sent_again(spark, d, log, again)), StageStore(spark)
+    stream_metrics.run_to_table(rows, store.path("first"), store.path("checkpoint"))
+    return spark.read.parquet(store.path("first")).groupBy("status", "routed_to").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def stream_late_rows(spark, d):
+    """A seventh of the first half of the log arrives after the second half:
+    it goes to the table of late rows, with how far it lies behind."""
+    log = fx.prediction_log(spark, d).select("id", "routed_to", "created_at")
+    early = F.col("created_at") < F.lit("2024-01-15").cast("timestamp")
+    held_back = early & (F.col("id").cast("long") % 7 == 0)
+    parts = [log.filter(early & ~held_back), log.filter(~early), log.filter(held_back)]
+    store = StageStore(spark)
+    paths = [store.path(x) for x in ("log", "late", "marks", "checkpoint")]
+    stream_unique.run_with_late_rows(_sent_again(spark, d, *parts), *paths, "1 day").awaitTermination()
+    logged = spark.read.parquet(paths[0]).select("routed_to", F.lit("logged").alias("kind"), F.lit(0).alias("s"))
+    late = spark.read.parquet(paths[1]).select("routed_to", F.col("reason").alias("kind"), F.col("seconds_behind").alias("s"))
+    return logged.unionByName(late).groupBy("kind", "routed_to").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("s").alias("seconds_behind")
+    )
+
+
 @query
 def stream_daily_metrics(spark, d):
     """Every day of the log, the last one too, which is still open."""
