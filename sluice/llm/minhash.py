@@ -54,7 +54,7 @@ from sluice.session import StageStore
 
 WIDTH, SHARE = 2, (80, 100)
 COLLECTIONS, DEPTH = 20, 3
-BUCKET_BYTES, UNIT_BYTES, TASK_BYTES = 64 << 20, 4 << 20, 16 << 20
+BUCKET_BYTES, UNIT_BYTES, TASK_BYTES = 24 << 20, 4 << 20, 16 << 20
 SUBS = 16  # a bucket's keys are sorted in so many parts, one at a time
 BROADCAST_ROWS = 4_000_000
 HOT_KEYS = 1_000
