@@ -203,6 +203,26 @@ def test_letters_that_normalise_to_marks():
     assert TextEncoder(path, False).encode([t.encode() for t in texts]) == want
 
 
+@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_encoder_on_mixed_characters(name, spaced):
+    """Chance texts of hard characters, through a cache that turns over often."""
+    import random
+
+    from sluice.llm.tokens import TextEncoder
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    plain = [*"abcXYZ019'\".,!?-_ \n\t\r\x0b\x0c\x00\x1c\x7f", *"      ", "'s", "'ll", "''", "<|", " and", "éÉ", "ß", "ñ"]
+    hard = ["\u0130", "\u0301", "\u1100", "\u1161", "\u0958", "漢", "Я", "…", "\u00a0", "\u0085", "😀", "²", "ſ", "\ufb01"]
+    chance = random.Random(7)
+    texts = ["".join(chance.choices(plain + hard * (k % 2), k=chance.randint(0, 40))) for k in range(6_000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    encoder = TextEncoder(path, spaced, cached=100)
+    assert encoder.encode([t.encode() for t in texts]) == want
+    assert len(encoder.words) <= 100 and len(encoder.words.old) <= 100
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 32])
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1000, dtype=np.uint64).astype(np.uint32)
