@@ -33,11 +33,12 @@ from sluice.session import StageStore
 
 @dataclass
 class Stages:
-    """Stored outputs of Stages 1 and 2 and the seconds each took."""
+    """Stored outputs of Stages 1 and 2, the seconds each took and its rows."""
 
     evidence: DataFrame
     decisions: DataFrame
     seconds: dict[str, float] = field(default_factory=dict)
+    rows: dict[str, int] = field(default_factory=dict)
 
 
 #: Ranks classes: (report_id, text) rows in, (report_id, candidates) rows out.
@@ -67,15 +68,17 @@ def run_stages(
         found = row_windows.row_evidence(reports, model, candidates)
     else:
         found = window_evidence(unit_scores(reports, model), model, candidates)
-    evidence = store.put("evidence", found)
+    evidence = store.put("evidence", found, watch=True)
     scored = time.perf_counter()
     best = best_window(evidence, model.params.tie_decimals)
     # Reports with candidates, but without a scored window, are decided too.
-    decisions = store.put("decisions", best if candidates is None else with_defaults(candidates, best))
+    decided = best if candidates is None else with_defaults(candidates, best)
+    decisions = store.put("decisions", decided, watch=True)
     return Stages(
         evidence,
         decisions,
         {"evidence": scored - started, "decisions": time.perf_counter() - scored},
+        {name: store.rows[name] for name in ("evidence", "decisions")},
     )
 
 
@@ -162,7 +165,8 @@ def classify(
     texts = good if copies is None else good.dropDuplicates(["report_id"])
     stages = run_stages(texts, model, store, candidates, window_scorer, scale)
     started = time.perf_counter()
-    routed = store.put("routed", route(stages, model, store, backend, reports=texts))
+    routed = store.put("routed", route(stages, model, store, backend, reports=texts), watch=True)
+    stages.rows["routing"] = store.rows["routed"]
     stages.seconds["routing"] = time.perf_counter() - started
     if on_error == "reject":
         failed = routed.filter(F.col("error").isNotNull())
@@ -195,10 +199,25 @@ def batch_totals(classified: Classified) -> DataFrame:
     )
 
 
+def stage_report(classified: Classified) -> list[dict[str, float | int | str]]:
+    """Seconds, rows and rows per second of each stage. The rows were counted
+    by the jobs that wrote the stages: nothing runs here."""
+    stages = classified.stages
+    return [
+        {
+            "stage": name,
+            "seconds": seconds,
+            "rows": stages.rows[name],
+            "rows_per_second": stages.rows[name] / max(seconds, 1e-9),
+        }
+        for name, seconds in stages.seconds.items()
+    ]
+
+
 def throughput(classified: Classified) -> dict[str, float]:
-    """Seconds and reports per second of the run; in a batch plan a single
-    row has no latency of its own."""
-    n = classified.results.count()
+    """Seconds of the run and distinct reports per second, from the stages'
+    own counts; in a batch plan a single row has no latency of its own."""
+    n = classified.stages.rows["routing"]
     total = sum(classified.stages.seconds.values())
     return {**classified.stages.seconds, "reports": n, "reports_per_second": n / max(total, 1e-9)}
 

@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
@@ -53,16 +54,23 @@ class StageStore:
         self.spark = spark
         self.base = f"{base or shared_dir(spark)}/stages-{uuid.uuid4().hex}"
         self._written: Counter[str] = Counter()
+        self.rows: dict[str, int] = {}  # of the tables that were watched
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        """Each call writes a table of its own, so a step may run again."""
+    def put(self, name: str, df: DataFrame, watch: bool = False) -> DataFrame:
+        """Each call writes a table of its own, so a step may run again. watch:
+        the job that writes also counts the rows, into `rows` under `name`."""
         self._written[name] += 1
         turn = self._written[name]
         own = name if turn == 1 else f"{name}-{turn}"
-        df.write.mode("errorifexists").parquet(self.path(own))
+        if watch:
+            seen = Observation()
+            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(self.path(own))
+            self.rows[name] = seen.get["rows"]
+        else:
+            df.write.mode("errorifexists").parquet(self.path(own))
         return self.get(own, df)
 
     def get(self, name: str, like: DataFrame) -> DataFrame:

@@ -279,3 +279,19 @@ def test_own_window_scorer_in_the_cascade(reports, model, store):
     for i, r in got.items():
         assert r.prediction == ("B" if "B" in r.top_k_candidates and i != "A9" else r.top_k_candidates[0])
     assert got["A9"].routing_score == -1.0
+
+
+def test_stage_rows_come_from_the_writing_jobs(spark, reports, model, store):
+    done = cascade.classify(reports, model, store)
+    report = {s["stage"]: s for s in cascade.stage_report(done)}
+    assert set(report) == {"evidence", "decisions", "routing"}
+    assert report["evidence"]["rows"] == done.stages.evidence.count()
+    assert report["decisions"]["rows"] == done.stages.decisions.count()
+    assert report["routing"]["rows"] == cascade.throughput(done)["reports"] == done.results.count()
+    assert all(s["seconds"] > 0 and s["rows_per_second"] > 0 for s in report.values())
+
+
+def test_stage_rows_of_an_empty_table(spark, reports, model, store):
+    done = cascade.classify(reports.limit(0), model, store)
+    assert [s["rows"] for s in cascade.stage_report(done)] == [0, 0, 0]
+    assert cascade.throughput(done)["reports"] == 0
