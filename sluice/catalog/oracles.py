@@ -460,6 +460,12 @@ SELECT label, n_rows, pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)),
 md5(string_agg(array_to_string(tok, ' '), '|' ORDER BY chunk_index)) AS texts,
 string_agg(top_label, ',' ORDER BY chunk_index) AS labels
 FROM windows JOIN evidence USING (report_id, chunk_index) GROUP BY report_id""",
+    )
+    sql["evidence_by_id"] = _with(
+        _DECIDED,
+        """SELECT report_id, chunk_index, md5(array_to_string(tok, ' ')) AS chunk_text, top_label, round(score, 4) AS score
+FROM windows JOIN evidence USING (report_id, chunk_index)
+WHERE report_id IN (SELECT report_id FROM decisions ORDER BY round(score, 4), report_id LIMIT 100)""",
     )
     sql["own_window_scorer"] = _with(
         {**_SCORED,

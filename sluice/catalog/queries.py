@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -24,6 +25,7 @@ from sluice.plans import cascade, training
 from sluice.session import StageStore
 from sluice.sources import evaluation_store, labels, prediction_log
 from sluice.sources import reports as report_files
+from sluice.sources.evidence_lookup import save_evidence
 from sluice.streaming import classify as stream_classify
 from sluice.streaming import metrics as stream_metrics
 from sluice.streaming import unique as stream_unique
@@ -878,6 +880,24 @@ def explanations(spark, d):
     )
 
 
+@query
+def evidence_by_id(spark, d):
+    """What the 100 least certain decisions rest on, looked up by report id in
+    the stored evidence."""
+    _, _, rows, stages = _stages(spark, d)
+    name = f"evidence_{uuid.uuid4().hex}"
+    stored = save_evidence(rows, stages.evidence, name, 16, StageStore(spark).path("lookup"))
+    asked = stages.decisions.orderBy(F.round("score", 4), "report_id").select("report_id").limit(100)
+    told = stored.of([r.report_id for r in asked.collect()], P).withColumn("e", F.explode_outer("chunk_evidence"))
+    return told.select(
+        "report_id",
+        F.col("e.chunk_index").alias("chunk_index"),
+        F.md5("e.chunk_text").alias("chunk_text"),
+        F.col("e.top_label").alias("top_label"),
+        F.round("e.score", 4).alias("score"),
+    )
+
+
 def _code_scorer(windows):
     def hits(label):
         code = F.lower(F.substring_index(label, "-", 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,14 +88,20 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Store a table bucketed by its join key: later joins and groupings on
-    the key read the buckets in place and move no text."""
-    (
+def save_bucketed(
+    df: DataFrame, table: str, key: str, buckets: int, then: Sequence[str] = (), path: str | None = None
+) -> None:
+    """Store a table bucketed by its join key and sorted by it (and `then`):
+    later joins and groupings on the key read the buckets in place and move no
+    text, and a filter on a few keys opens only their buckets, in which row
+    groups are skipped by their bounds and Bloom filters. With a path the files
+    lie there and the catalog only names them."""
+    writer = (
         df.repartition(buckets, key)
         .write.mode("overwrite")
         .format("parquet")
+        .option(f"parquet.bloom.filter.enabled#{key}", "true")
         .bucketBy(buckets, key)
-        .sortBy(key)
-        .saveAsTable(table)
+        .sortBy(key, *then)
     )
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)

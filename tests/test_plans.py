@@ -1,5 +1,7 @@
 """What the physical plans must and must not contain."""
 
+import re
+
 import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from sluice.operators.candidates import report_scores
 from sluice.plans import cascade
 from sluice.session import StageStore
 from sluice.sources import prediction_log
+from sluice.sources.evidence_lookup import MOST_IDS, save_evidence
 from sluice.sources.reports import save_bucketed
 
 
@@ -81,3 +84,30 @@ def test_bucketed_tables_join_in_place(spark, plain_reports):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE bucketed_reports")
         spark.sql("DROP TABLE bucketed_labels")
+
+
+def test_evidence_of_few_ids_opens_few_buckets(spark, trained, plain_reports, tmp_path):
+    store = StageStore(spark, str(tmp_path))
+    stages = cascade.run_stages(plain_reports, trained.model, store)
+    params = trained.model.params
+    stored = save_evidence(plain_reports, stages.evidence, "kept_evidence", 64, str(tmp_path / "kept"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        every = {r.report_id: r.chunk_evidence for r in win.explain(plain_reports, stages.evidence, params).collect()}
+        ids = sorted(every)[:5]
+        told = stored.of([*ids, ids[0], None, -7], params)
+        plan = plan_of(told)
+        check_clean(plan)
+        assert "Exchange" not in plan
+        # Six ids, stored or not: at most six of the 64 buckets of each table.
+        opened = [int(n) for n in re.findall(r"SelectedBucketsCount: (\d+) out of 64", plan)]
+        assert len(opened) == 2 and max(opened) <= 6
+        assert {r.report_id: r.chunk_evidence for r in told.collect()} == {i: every[i] for i in ids}
+        assert stored.of([], params).count() == 0 == stored.of([None, -7], params).count()
+        assert {r.report_id for r in stored.of(list(every), params).collect()} == set(every)
+        with pytest.raises(ValueError):
+            stored.of(range(MOST_IDS + 1), params)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE kept_evidence_texts")
+        spark.sql("DROP TABLE kept_evidence_evidence")
