@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,15 @@ def stage(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     return StageStore(spark).put(name, df)
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, or name with as many underscores as it takes to clash with none
+    of `taken` (Spark's column names don't tell cases apart)."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text, empty for null. bytes.split() then cuts at
     exactly [\\x20\\x09-\\x0D], and bytes.lower() changes A-Z only."""
@@ -83,7 +92,9 @@ def pieces(total: float, each: float, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
 
 
-def numbered(df: DataFrame, key: str, sub: F.Column, splits: int, out: str, spark: SparkSession) -> DataFrame:
+def numbered(
+    df: DataFrame, key: str, sub: F.Column, splits: int, out: str, spark: SparkSession, order: list[str] | None = None
+) -> DataFrame:
     """Gapless numbers from 0 inside each value of `key`, none of which may be
     large: rows are ranked inside (key, hash part) and lifted by the rows of
     the parts before. Only keys x splits counts are gathered."""
@@ -97,7 +108,7 @@ def numbered(df: DataFrame, key: str, sub: F.Column, splits: int, out: str, spar
         F.col("_sub").alias("_part"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lift"),
     )
-    order = [c for c in df.columns if c != key]
+    order = order or [c for c in df.columns if c != key]
     ranked = parted.withColumn(
         "_rank", F.row_number().over(W.partitionBy(key, "_sub").orderBy(*order)) - 1
     )

@@ -9,28 +9,35 @@ the search loses nothing. Documents probe the sketches with every shingle of
 their whole text; candidates are verified by exact containment of shingle
 strings. No row of the documents is shuffled.
 
-Items are taken in blocks of `block` rows, so what a task holds is bounded
-whatever the size of the benchmark; each further block is another pass.
+Items are taken in blocks of at most `block` rows and BLOCK_BYTES of text (one
+item at least). The driver reads a block, sends it and forgets it; with more than
+one, what a block finds is written before the next is read, so neither driver nor
+tasks ever hold two. Each further block is another pass over the documents.
 
 Defined cases: text is compared with A-Z lower-cased, as words
 [^\\x20\\x09-\\x0D]+. A text of fewer than five words has one shingle, the whole
 sequence; a text without words, or null, contains nothing and is contained in
-nothing. Rows that repeat an id are judged row by row. An empty table on either
-side gives an empty result. Other columns are not read.
+nothing. Rows that repeat an id are judged row by row, and an item that occurs
+twice is found twice. An empty table on either side gives an empty result;
+without items every document is clean. contained_items() reads no other columns,
+clean_documents() returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import WordHashes, byte_texts, rolling_hashes, slices
+from sluice.llm.common import WordHashes, byte_texts, rolling_hashes, slices, stage
 
 WIDTH, SHARE, BLOCK = 5, 0.8, 20_000
+BLOCK_BYTES = 32 << 20
 _WORDS = WordHashes()
 _RESULT = "doc_id long, item_id long, matched long, item_shingles long, containment double"
 
@@ -76,6 +83,20 @@ class _Sketches:
         return {i for h in near.tolist() for i in self.items.get(h, ())}
 
 
+def _blocks(items: DataFrame, item_id: str, text: str, block: int) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """Bounded runs of items, each with whether it is the last; one empty run
+    if there are no items."""
+    held, size = [], 0
+    rows = items.select(F.col(item_id).cast("long"), F.col(text).cast("string")).toLocalIterator()
+    for row in rows:
+        if held and (len(held) == block or size + len(row[1] or "") > BLOCK_BYTES):
+            yield held, False
+            held, size = [], 0
+        held.append((row[0], row[1]))
+        size += len(row[1] or "")
+    yield held, True
+
+
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
@@ -89,13 +110,10 @@ def contained_items(
 ) -> DataFrame:
     """doc_id, item_id, matched, item_shingles, containment: every pair in
     which the document holds at least `share` of the item's shingles."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = items.select(F.col(item_id).cast("long"), F.col(item_text)).toLocalIterator()
-    found, held = None, []
-
-    def search(held: list[tuple[int, str]]) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(held)
 
+    def search(sent) -> DataFrame:
         def probe(batches):
             sketches = _Sketches(sent.value, width, share)
             for batch in batches:
@@ -113,11 +131,48 @@ def contained_items(
 
         return docs.mapInArrow(probe, _RESULT)
 
-    for row in rows:
-        held.append((row[0], row[1]))
-        if len(held) == block:
-            found, held = search(held) if found is None else found.unionAll(search(held)), []
-    return search(held) if found is None else found.unionAll(search(held)) if held else found
+    found = []
+    for held, last in _blocks(items, item_id, item_text, block):
+        sent = spark.sparkContext.broadcast(held)
+        found.append(search(sent))
+        if not last:
+            found[-1] = stage(spark, "contained", found[-1])
+            sent.destroy()
+    return reduce(DataFrame.unionAll, found)
+
+
+def clean_documents(
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    width: int = WIDTH,
+    share: float = SHARE,
+    block: int = BLOCK,
+) -> DataFrame:
+    """The documents that hold no item, with all their columns. A row is judged
+    where it is read, by its own text: nothing is joined or moved, and null or
+    repeated ids don't matter."""
+    spark, schema, at = docs.sparkSession, docs.schema, docs.columns.index(text)
+
+    def sift(sent) -> DataFrame:
+        def clean(batches):
+            sketches = _Sketches(sent.value, width, share)
+            for batch in batches:
+                texts = byte_texts(batch.column(at))
+                gone = {k for k, *_ in _matches(enumerate(texts), sketches, width, share)}
+                yield batch.filter(pa.array([k not in gone for k in range(len(texts))], pa.bool_()))
+
+        return docs.mapInArrow(clean, schema)
+
+    for held, last in _blocks(items, item_id, item_text, block):
+        sent = spark.sparkContext.broadcast(held)
+        docs = sift(sent)
+        if not last:
+            docs = stage(spark, "clean", docs)
+            sent.destroy()
+    return docs
 
 
 def _matches(docs, sketches: _Sketches, width: int, share: float):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from sluice.llm.common import byte_texts, stage
+from sluice.llm.common import byte_texts, free_name, stage
 from sluice.llm.sketches import frequent
 
 HEAVY = 1024
@@ -93,14 +93,15 @@ def kept_rows(docs: DataFrame, made: DataFrame, doc_id: str, text: str) -> DataF
     pairs = made.groupBy(*key).agg(F.count("*").alias("_n"), F.max("kept").alias("_kept"))
     gone = pairs.filter(~F.col("_kept"))
     tied = pairs.filter(F.col("_kept") & (F.col("_n") > 1))
-    marked = docs.withColumn("_text_digest", digest_of(text))
+    digest = free_name("_text_digest", docs.columns)
+    marked = docs.withColumn(digest, digest_of(text))
 
     def same(side):
-        return docs[doc_id].eqNullSafe(side["_id"]) & (marked["_text_digest"] == side["_digest"])
+        return docs[doc_id].eqNullSafe(side["_id"]) & (marked[digest] == side["_digest"])
 
     left = marked.join(gone, same(gone), "left_anti")
     if tied.isEmpty():
-        return left.drop("_text_digest")
+        return left.drop(digest)
     single = left.join(tied, same(tied), "left_anti")
-    once = left.join(tied, same(tied), "left_semi").dropDuplicates([doc_id, "_text_digest"])
-    return single.unionByName(once).drop("_text_digest")
+    once = left.join(tied, same(tied), "left_semi").dropDuplicates([doc_id, digest])
+    return single.unionByName(once).drop(digest)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import byte_texts, stage
+from sluice.llm.common import byte_texts, free_name, stage
 
 FEATURES, RIDGE, SEED, BINS, THRESHOLD = 384, 1e-3, 7, 4096, 0.7
 HELD_OUT, CALIBRATING = 2, 3
@@ -272,12 +272,14 @@ def kept_documents(
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """The documents with a score of at least `threshold`, with all columns."""
-    model = fit(text_statistics(docs, doc_id, text), labels)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # The statistics are the work: they are written beside the row and read twice.
+    name = free_name("stats", docs.columns)
+    rows = stage(docs.sparkSession, "measured", docs.withColumn(name, statistics_of(text)))
+    stats = rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(name).alias("stats"))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(stats, labels))
 
     @F.arrow_udf(T.BooleanType())
-    def good(texts: pa.Array) -> pa.Array:
-        rows = np.array([statistics(t) for t in byte_texts(texts)]).reshape(-1, len(STATISTICS))
-        return pa.array(sent.value.scores(rows.astype(np.float32).astype(float)) >= threshold)
+    def good(column: pa.Array) -> pa.Array:
+        return pa.array(sent.value.scores(_matrix(column)) >= threshold)
 
-    return docs.filter(good(text))
+    return rows.filter(good(name)).drop(name)

@@ -120,7 +120,9 @@ def all_spans(t):
             continue
         if any(a < m.end() and m.start() < b for a, _, b in base):
             continue
-        least = 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", h) else 3.8 if re.fullmatch("[A-Za-z0-9]+", h) else 3.9
+        classes = [("[0-9a-f]+|[0-9A-F]+", 2.95), ("[a-z0-9]+|[A-Z0-9]+", 3.44), ("[A-Za-z0-9]+", 3.68)]
+        classes += [(".*[a-z].*[A-Z].*|.*[A-Z].*[a-z].*", 3.72), (".+", 3.9)]
+        least = next(bound for pattern, bound in classes if re.fullmatch(pattern, h))
         if max(_entropy(h[i : i + 20]) for i in range(len(h) - 19)) >= least - 1e-12:
             more.append((m.start(), 3, m.end()))
     return sorted(base + more)

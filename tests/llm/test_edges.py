@@ -356,3 +356,83 @@ def test_running_sums(spark):
     df = spark.createDataFrame([(values,), ([5],)], "v array<long>")
     got = [list(r.s) for r in df.select(secrets.running_sums(F.col("v")).alias("s")).collect()]
     assert got == [np.cumsum(values).tolist(), [5]]
+
+
+def test_clashing_names_and_maps(spark, tmp_path):
+    """Columns named like those the operators use come back as they were."""
+    from sluice.llm.decontaminate import clean_documents
+
+    clash = ["_key", "_sub", "_part", "_rank", "_text_digest", "_id", "_n", "stats", "shard", "slot", "grown_shard", "file", "record"]
+    texts = [SHARED, SHARED, "x " + SHARED, "one more text", None, ""]
+    made = [(i, t, *[f"{c}{i}" for c in clash], {"k": i}) for i, t in enumerate(texts)]
+    shape = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in clash) + ", m map<string, int>"
+    docs = spark.createDataFrame(made, shape).repartition(2)
+    columns = [f"{c}_" if c in ("shard", "slot", "grown_shard") else c for c in docs.columns]
+
+    def same(df, ids):
+        assert df.columns == docs.columns
+        assert sorted((tuple(r) for r in df.collect()), key=repr) == [made[i] for i in ids]
+
+    same(exact_dedup.kept_documents(docs), [1, 2, 3, 5])
+    same(simhash.kept_documents(docs), [i for i, c in components({i: fingerprint(t) for i, t in enumerate(texts)}).items() if i == c])
+    same(clean_documents(docs, spark.createDataFrame([(1, SHARED)], "item_id long, text string")), [3, 4, 5])
+    same(quality.kept_documents(docs, docs.selectExpr("doc_id", "1 as label").limit(0)), range(6))
+    placed = sharding.sharded(docs, "doc_id", [1.0, 1.0])
+    assert placed.columns == [*columns, "shard", "slot", "grown_shard"]
+    assert sorted((tuple(r[:-3]) for r in placed.collect()), key=repr) == made
+    sharding.write_shards(docs, "doc_id", [1.0, 1.0], f"{tmp_path}/shards")
+    names = ["shard_" if c == "shard" else c for c in docs.columns]
+    back = spark.read.parquet(f"{tmp_path}/shards").select(*names)
+    assert sorted((tuple(r) for r in back.collect()), key=repr) == made
+
+
+def test_equal_rows_are_numbered_in_many_parts(spark):
+    """50,000 rows alike in every column: one shard, gapless, no part with all."""
+    same = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("t").alias("text"))
+    got = sharding.sharded(same, "doc_id", [1.0, 1.0])
+    least, most, n, shards = got.agg(F.min("slot"), F.max("slot"), F.count_distinct("slot"), F.count_distinct("shard")).first()
+    assert (least, most, n, shards) == (0, 49_999, 50_000, 1)
+
+
+def test_shards_of_the_scores(spark):
+    """Every shard against scores computed one by one."""
+    weights = [1.0, 2.0, 0.5]
+    ids = spark.range(300).select(F.col("id").cast("string").alias("k"))
+    score = lambda s, w: -w / F.log((F.xxhash64("k", F.lit(s)).bitwiseAND(F.lit(2**53 - 1)) + 0.5) / float(2**53))
+    got = ids.select(sharding.shard_of(F.col("k"), weights).alias("shard"), *[score(s, w) for s, w in enumerate(weights)])
+    assert all(r[0] == max(range(3), key=lambda s: (r[1 + s], -s)) for r in got.collect())
+
+
+def test_clean_documents(spark, docs, empty):
+    from sluice.llm.decontaminate import clean_documents
+
+    items = [(1, SHARED[:150]), (2, None), (3, ""), (4, "one"), (4, "one"), (5, "not there at all in any text")]
+    made = spark.createDataFrame(items, "item_id long, text string")
+    for block in (1, 2, 100):
+        left = clean_documents(docs, made, block=block)
+        want = [(i, t) for i, t in rows() if not contained([(i, t)], items)]
+        assert left.columns == docs.columns and plain(left.select("doc_id", "text")) == sorted(want, key=repr)
+    assert clean_documents(docs, made.limit(0)).count() == len(rows()) and clean_documents(empty, made).count() == 0
+
+
+def test_random_keys_are_found(spark):
+    """Of random keys of 20 characters, whatever their class, 95 % or more."""
+    import string
+
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    rng = random.Random(12)
+    classes = {"hex": "0123456789ABCDEF", "lower": low + digits, "upper": up + digits, "alnum": low + up + digits}
+    classes["base64"] = classes["alnum"] + "+/"
+    made = []
+    for name, alphabet in classes.items():
+        while sum(n == name for n, _ in made) < 400:
+            key = "".join(rng.choices(alphabet, k=20))
+            if any(c.isdigit() for c in key) and any(c.isalpha() for c in key):
+                made.append((name, key))
+    docs = spark.createDataFrame([(i, f"see {key} there") for i, (_, key) in enumerate(made)], "doc_id long, text string")
+    got = secrets.secret_spans(docs).filter("size(spans) > 0").select("doc_id").collect()
+    found = Counter(made[r.doc_id][0] for r in got)
+    assert set(found) == set(classes) and min(found.values()) >= 0.95 * 400, found
+    words = "the authentication-service-2 of internal-tools/release_2024 and zzzzzzzzzzzzzzzzzzzzzzzz1 is up"
+    clean = spark.createDataFrame([(1, words), (2, "id 11111111111111111111zzzz")], "doc_id long, text string")
+    assert secrets.secret_spans(clean).filter("size(spans) > 0").count() == 0
