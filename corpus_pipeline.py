@@ -11,9 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import exact_dedup, quality, simhash
+from sluice.llm import decontaminate, exact_dedup, quality, simhash
 from sluice.llm.common import stage
-from sluice.llm.decontaminate import contained_items
 from sluice.llm.packing import packed_documents
 
 
@@ -37,11 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold four fifths or more of a benchmark item go."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    # A text's hash stands for it: ids may be null or repeat.
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    found = contained_items(keyed, items, doc_id="_key").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(found, "_key", "left_anti").drop("_key")
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
