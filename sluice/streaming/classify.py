@@ -16,6 +16,13 @@ def read_stream(spark: SparkSession, folder: str, like: DataFrame, **options: st
     return spark.readStream.schema(like.schema).options(**options).parquet(folder)
 
 
+def table_stream(spark: SparkSession, table: str, like: DataFrame, **options: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of them: a stream's path
+    must be a folder unless it is a pattern, so the name is put as one."""
+    folder, name = table.rstrip("/").rsplit("/", 1)
+    return read_stream(spark, f"{folder}/{{{name}}}", like, **options)
+
+
 def classify_stream(
     reports: DataFrame,
     model: CentroidModel,
