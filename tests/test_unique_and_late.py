@@ -46,6 +46,23 @@ def test_first_rows_and_conflicts_over_restarts(spark, tmp_path):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 5
 
 
+def test_many_ids_share_few_states(spark, tmp_path):
+    """Keys are judged a bucket at a time, and each goes once the log has passed it."""
+    folder, hours = tmp_path / "in", 24 * 3
+    add(spark, folder, [(f"id{i}", "x", i, at(0)) for i in range(300)])
+    query = drained(unique.first_predictions(stream(spark, folder), keep_days=1, buckets=4), tmp_path)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 4
+    again = [(f"id{i}", "y" if i % 3 == 0 else "x", i, at(2)) for i in range(0, 300, 2)]
+    add(spark, folder, [*again, ("id1000", "x", 0, at(hours))])
+    drained(unique.first_predictions(stream(spark, folder), keep_days=1, buckets=4), tmp_path)
+    add(spark, folder, [("id7", "z", 7, at(hours)), ("id1000", "z", 0, at(hours))])
+    drained(unique.first_predictions(stream(spark, folder), keep_days=1, buckets=4), tmp_path)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.filter("status = 'first'").count() == 302  # id7 is new again, its state has gone
+    conflicts = sorted(r.id for r in out.filter("status = 'conflict'").select("id").collect())
+    assert conflicts == sorted([*(f"id{i}" for i in range(0, 300, 6)), "id1000"])
+
+
 def test_late_rows_after_a_restart_and_a_replay(spark, tmp_path):
     folder, paths = tmp_path / "in", [str(tmp_path / p) for p in ("log", "late", "marks", "cp")]
 
