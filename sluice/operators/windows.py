@@ -16,15 +16,16 @@ from sluice.params import CascadeParams
 WHOLE = -1  # chunk_index of the whole report among its windows
 
 
-def report_windows(reports: DataFrame, params: CascadeParams) -> DataFrame:
-    """report_id, chunk_index, tokens: overlapping windows of each report."""
-    tokens = reports.select("report_id", word_tokens(F.col("text")).alias("tokens"))
+def report_windows(reports: DataFrame, params: CascadeParams, *keep: str) -> DataFrame:
+    """report_id, further columns, chunk_index, tokens: overlapping windows of
+    each report."""
+    tokens = reports.select("report_id", *keep, word_tokens(F.col("text")).alias("tokens"))
     # There is always a window; the outer variant spares a size check that
     # would cut the text twice.
     windows = token_windows(
         F.col("tokens"), params.window_tokens, params.window_overlap, params.max_windows
     )
-    return tokens.select("report_id", F.posexplode_outer(windows).alias("chunk_index", "tokens"))
+    return tokens.select("report_id", *keep, F.posexplode_outer(windows).alias("chunk_index", "tokens"))
 
 
 def window_text(tokens: Column) -> Column:
@@ -168,9 +169,10 @@ def own_evidence(
 ) -> DataFrame:
     """Window evidence from a caller's scorer. A window row carries its words
     and its report's candidates, so it is scored in place: the text moves at
-    most once, for the join with the candidates. Reports whose windows the
+    most once, whole, for the join with the candidates, and is cut after. Reports whose windows the
     scorer leaves out have no evidence; with_defaults() decides them."""
-    windows = report_windows(reports, params).join(candidates.select("report_id", "candidates"), "report_id")
+    both = reports.select("report_id", "text").join(candidates.select("report_id", "candidates"), "report_id")
+    windows = report_windows(both, params, "candidates")
     return evidence_from_rows(scorer(windows), candidates, scale, params.tie_decimals)
 
 
