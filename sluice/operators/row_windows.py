@@ -31,7 +31,7 @@ from sluice.operators.windows import best_candidate, softmax
 
 MODEL_BYTES = 256 << 20
 TERM_BYTES = 32  # of a term, on average
-TOKENS_AT_ONCE = 150_000
+TOKENS_AT_ONCE = 50_000
 NUMBERS_AT_ONCE = 4_000_000
 
 
@@ -86,27 +86,43 @@ def _sums(terms: np.ndarray, products: np.ndarray, square: np.ndarray, low: np.n
     return sums, lengths
 
 
+def lookup(terms: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms as numbers: their words, the term each word is (-1: none), and
+    the bigrams as sorted pairs of word numbers with their terms."""
+    cut = [t.partition(" ") for t in terms]
+    words = sorted({w for first, space, second in cut for w in ((first, second) if space else (first,))})
+    place = {w: k for k, w in enumerate(words)}
+    single, pairs = np.full(len(words) + 1, -1), [(-1, -1)]
+    for i, (first, space, second) in enumerate(cut):
+        if space:
+            pairs.append((place[first] * len(words) + place[second], i))
+        else:
+            single[place[first]] = i
+    keys, ids = np.array(sorted(pairs), np.int64).T
+    return pa.array(words, pa.string()), single, keys, ids
+
+
 def known_terms(
-    tokens: pa.ListArray, terms: pa.Array, stop_words: pa.Array, ngram_max: int
+    tokens: pa.ListArray, terms: tuple, stop_words: pa.Array, ngram_max: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(term, first token, last token) of the occurrences of known terms, in
-    token positions over all reports: words, then bigrams."""
+    """(term, first token, last token) of the occurrences of known terms (a
+    lookup()), in token positions over all reports: words, then bigrams. Each
+    distinct word is looked up once, a bigram by its words' numbers."""
+    words, single, keys, pair_ids = terms
     sizes = list_sizes(tokens)
     coded = tokens.flatten().dictionary_encode()
-    words, codes = coded.dictionary, np.array(coded.indices, np.int64)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    # Each distinct word is looked up once.
-    known = lambda column: np.array(pc.fill_null(pc.index_in(column, value_set=terms), -1), np.int64)
-    kept = np.flatnonzero(~np.array(pc.is_in(words, value_set=stop_words), bool)[codes])
-    codes = codes[kept]
-    ids = known(words)[codes]
+    codes = np.array(coded.indices, np.int64)
+    kept = np.flatnonzero(~np.array(pc.is_in(coded.dictionary, value_set=stop_words), bool)[codes])
+    number = np.array(pc.fill_null(pc.index_in(coded.dictionary, value_set=words), -1), np.int64)[codes[kept]]
+    ids = single[number]
     yield ids[ids >= 0], kept[ids >= 0], kept[ids >= 0]
-    if ngram_max == 2 and len(codes) > 1:
-        pairs, place = np.unique(codes[:-1] * len(words) + codes[1:], return_inverse=True)
-        first, second = (words.take(pa.array(half)) for half in divmod(pairs, len(words)))
-        ids = known(pc.binary_join_element_wise(first, second, " "))[place]
-        own = (ids >= 0) & (owner[kept[:-1]] == owner[kept[1:]])
-        yield ids[own], kept[:-1][own], kept[1:][own]
+    if ngram_max == 2 and len(number) > 1:
+        owner = np.repeat(np.arange(len(sizes)), sizes)[kept]
+        met = np.flatnonzero((number[:-1] >= 0) & (number[1:] >= 0) & (owner[:-1] == owner[1:]))
+        pair = number[met] * len(words) + number[met + 1]
+        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        own = keys[at] == pair
+        yield pair_ids[at[own]], kept[met[own]], kept[met[own] + 1]
 
 
 def score_rows(
@@ -133,7 +149,7 @@ def row_scores(reports: DataFrame, model: CentroidModel) -> DataFrame:
 
     def scored(batches) -> Iterator[pa.RecordBatch]:
         terms, products, square = sent.value
-        held = (pa.array(terms, pa.string()), products, square)
+        held = (lookup(terms), products, square)
         stops = pa.array(stop_words, pa.string())
         for batch in one_by_one(batches):
             tokens = batch.column("tokens")
@@ -155,7 +171,7 @@ def whole_sums(reports: DataFrame, model: CentroidModel) -> DataFrame:
 
     def summed(batches) -> Iterator[pa.RecordBatch]:
         terms, products, square = sent.value
-        terms, stops = pa.array(terms, pa.string()), pa.array(stop_words, pa.string())
+        terms, stops = lookup(terms), pa.array(stop_words, pa.string())
         k = products.shape[1]
         for batch in one_by_one(batches):
             tokens = batch.column("tokens")
