@@ -10,9 +10,9 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.operators.row_terms import label_sums
+from sluice.operators.row_terms import label_sums, text_label_sums
 from sluice.operators.vectors import ClassWeights, term_index, vectorizer
-from sluice.operators.vocabulary import fit_vocabulary, report_terms, report_tokens
+from sluice.operators.vocabulary import NUMBERED_TERMS, fit_vocabulary, report_terms, report_texts
 from sluice.params import CascadeParams
 from sluice.session import StageStore
 
@@ -67,7 +67,12 @@ def class_centroids(vectors: DataFrame, store: StageStore) -> DataFrame:
     vectors, then on the map side, in one pass over the vectors, and spread over
     idx, so no reducer holds a class; the stored sums give the rest, one row a
     class. A class of empty vectors has one row with NULL idx."""
-    one_pass = label_sums(vectors).groupBy("label", "idx").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return _centroids(label_sums(vectors), store)
+
+
+def _centroids(parts: DataFrame, store: StageStore) -> DataFrame:
+    """class_centroids() from partial sums: label, idx, s, n."""
+    one_pass = parts.groupBy("label", "idx").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     sums = store.put("class_sums", one_pass)
     square = F.when(F.col("idx").isNotNull(), F.col("s") * F.col("s")).otherwise(0.0)
     about = sums.groupBy("label").agg(F.sum("n").alias("n_rows"), F.sqrt(F.sum(square)).alias("length"))
@@ -102,16 +107,24 @@ def centroid_rows(model: CentroidModel) -> DataFrame:
     )
 
 
+def _label_parts(train: DataFrame, fitted: PipelineModel, params: CascadeParams) -> DataFrame:
+    """Sums of the vectors by label and idx, to be added up. The terms of a
+    smaller vocabulary are counted, scaled and summed where the text is read."""
+    counter, scale = fitted.stages[:2]
+    terms = counter.vocabulary
+    if len(terms) > NUMBERED_TERMS:
+        vectors = fitted.transform(report_terms(train, params, "label"))
+        return label_sums(vectors.select("label", "tfidf"))
+    factors = scale.getScalingVec().toArray()
+    return text_label_sums(report_texts(train, "label"), terms, factors, params.stop_words, params.ngram_max)
+
+
 def fit_centroids(train: DataFrame, params: CascadeParams, store: StageStore) -> CentroidModel:
     """Fit on report_id, text, label. Two scans of the text: one counts terms,
     one averages vectors."""
-    documents = report_terms(train, params, "label")
-    vocab = store.put("vocabulary", fit_vocabulary(report_tokens(train), params, store))
+    vocab = store.put("vocabulary", fit_vocabulary(report_texts(train), params, store))
     fitted = vectorizer(vocab, params)
-    centroids = store.put(
-        "centroids",
-        class_centroids(fitted.transform(documents).select("label", "tfidf"), store),
-    )
+    centroids = store.put("centroids", _centroids(_label_parts(train, fitted, params), store))
     names = centroids.select("label").distinct().orderBy("label").limit(params.max_labels + 1)
     labels = tuple(r.label for r in names.collect())
     if len(labels) > params.max_labels:

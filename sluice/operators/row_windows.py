@@ -19,14 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.text import word_tokens
 from sluice.operators.candidates import label_array, pick, ranked_indices
 from sluice.operators.centroids import CentroidModel
-from sluice.operators.row_terms import list_sizes, one_by_one, pair_counts, runs
+from sluice.operators.row_terms import coded_words, known_terms, lookup, one_by_one, pair_counts, runs, word_characters
 from sluice.operators.windows import best_candidate, softmax
 
 MODEL_BYTES = 256 << 20
@@ -86,53 +84,14 @@ def _sums(terms: np.ndarray, products: np.ndarray, square: np.ndarray, low: np.n
     return sums, lengths
 
 
-def lookup(terms: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """The terms as numbers: their words, the term each word is (-1: none), and
-    the bigrams as sorted pairs of word numbers with their terms."""
-    cut = [t.partition(" ") for t in terms]
-    words = sorted({w for first, space, second in cut for w in ((first, second) if space else (first,))})
-    place = {w: k for k, w in enumerate(words)}
-    single, pairs = np.full(len(words) + 1, -1), [(-1, -1)]
-    for i, (first, space, second) in enumerate(cut):
-        if space:
-            pairs.append((place[first] * len(words) + place[second], i))
-        else:
-            single[place[first]] = i
-    keys, ids = np.array(sorted(pairs), np.int64).T
-    return pa.array(words, pa.string()), single, keys, ids
-
-
-def known_terms(
-    tokens: pa.ListArray, terms: tuple, stop_words: pa.Array, ngram_max: int
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(term, first token, last token) of the occurrences of known terms (a
-    lookup()), in token positions over all reports: words, then bigrams. Each
-    distinct word is looked up once, a bigram by its words' numbers."""
-    words, single, keys, pair_ids = terms
-    sizes = list_sizes(tokens)
-    coded = tokens.flatten().dictionary_encode()
-    codes = np.array(coded.indices, np.int64)
-    kept = np.flatnonzero(~np.array(pc.is_in(coded.dictionary, value_set=stop_words), bool)[codes])
-    number = np.array(pc.fill_null(pc.index_in(coded.dictionary, value_set=words), -1), np.int64)[codes[kept]]
-    ids = single[number]
-    yield ids[ids >= 0], kept[ids >= 0], kept[ids >= 0]
-    if ngram_max == 2 and len(number) > 1:
-        owner = np.repeat(np.arange(len(sizes)), sizes)[kept]
-        met = np.flatnonzero((number[:-1] >= 0) & (number[1:] >= 0) & (owner[:-1] == owner[1:]))
-        pair = number[met] * len(words) + number[met + 1]
-        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-        own = keys[at] == pair
-        yield pair_ids[at[own]], kept[met[own]], kept[met[own] + 1]
-
-
 def score_rows(
-    tokens: pa.ListArray, model: tuple, stop_words: pa.Array, ngram_max: int, window: int, step: int, cap: int | None
+    coded: tuple, model: tuple, stop_words: pa.Array, ngram_max: int, window: int, step: int, cap: int | None
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(windows of each report, scores of each unit)."""
+    """(windows of each report, scores of each unit) from reports' coded_words()."""
     terms, products, square = model
-    counts, _, start, stop = _units(list_sizes(tokens), window, step, cap)
+    counts, _, start, stop = _units(coded[0], window, step, cap)
     sums, lengths = np.zeros((len(start), products.shape[1])), np.zeros(len(start))
-    for ids, first, last in known_terms(tokens, terms, stop_words, ngram_max):
+    for ids, first, last in known_terms(coded, terms, stop_words, ngram_max):
         more, longer = _sums(ids, products, square, np.searchsorted(first, start), np.searchsorted(last, stop))
         sums, lengths = sums + more, lengths + longer
     length = np.sqrt(lengths)[:, None]
@@ -145,20 +104,21 @@ def row_scores(reports: DataFrame, model: CentroidModel) -> DataFrame:
     kind = reports.schema["report_id"].dataType.simpleString()
     sent = reports.sparkSession.sparkContext.broadcast(_model_arrays(model))
     window, step, cap = params.window_tokens, params.window_step, params.max_windows
-    ngram_max, stop_words = params.ngram_max, list(params.stop_words)
+    ngram_max, stop_words, bits = params.ngram_max, list(params.stop_words), word_characters()
 
     def scored(batches) -> Iterator[pa.RecordBatch]:
         terms, products, square = sent.value
         held = (lookup(terms), products, square)
-        stops = pa.array(stop_words, pa.string())
+        stops, characters = pa.array(stop_words, pa.string()), np.unpackbits(bits).view(bool)
         for batch in one_by_one(batches):
-            tokens = batch.column("tokens")
-            for a, n in runs(tokens, TOKENS_AT_ONCE):
-                counts, scores = score_rows(tokens.slice(a, n), held, stops, ngram_max, window, step, cap)
+            texts = batch.column("lowered")
+            for a, n in runs(texts, TOKENS_AT_ONCE):
+                coded = coded_words(texts.slice(a, n), characters)
+                counts, scores = score_rows(coded, held, stops, ngram_max, window, step, cap)
                 yield _row_batch(batch.column("report_id").slice(a, n), counts, scores)
-            del batch, tokens
+            del batch, texts
 
-    rows = reports.select("report_id", word_tokens(F.col("text")).alias("tokens"))
+    rows = reports.select("report_id", F.lower("text").alias("lowered"))
     return rows.mapInArrow(scored, f"report_id {kind}, whole array<double>, windows array<array<double>>")
 
 
@@ -167,17 +127,18 @@ def whole_sums(reports: DataFrame, model: CentroidModel) -> DataFrame:
     of its term occurrences added up, and its squared length."""
     kind = reports.schema["report_id"].dataType.simpleString()
     sent = reports.sparkSession.sparkContext.broadcast(_model_arrays(model))
-    ngram_max, stop_words = model.params.ngram_max, list(model.params.stop_words)
+    ngram_max, stop_words, bits = model.params.ngram_max, list(model.params.stop_words), word_characters()
 
     def summed(batches) -> Iterator[pa.RecordBatch]:
         terms, products, square = sent.value
         terms, stops = lookup(terms), pa.array(stop_words, pa.string())
+        characters = np.unpackbits(bits).view(bool)
         k = products.shape[1]
         for batch in one_by_one(batches):
-            tokens = batch.column("tokens")
-            for a, n in runs(tokens, TOKENS_AT_ONCE):
-                part = tokens.slice(a, n)
-                ends = np.cumsum(list_sizes(part))
+            texts = batch.column("lowered")
+            for a, n in runs(texts, TOKENS_AT_ONCE):
+                part = coded_words(texts.slice(a, n), characters)
+                ends = np.cumsum(part[0])
                 sums, squares = np.zeros((n, k)), np.zeros(n)
                 for ids, first, _ in known_terms(part, terms, stops, ngram_max):
                     owner, idx, times = pair_counts(np.searchsorted(ends, first, side="right"), ids, len(square))
@@ -188,9 +149,9 @@ def whole_sums(reports: DataFrame, model: CentroidModel) -> DataFrame:
                     [batch.column("report_id").slice(a, n), _arrays(sums), pa.array(squares)],
                     names=["report_id", "sums", "square"],
                 )
-            del batch, tokens
+            del batch, texts
 
-    rows = reports.select("report_id", word_tokens(F.col("text")).alias("tokens"))
+    rows = reports.select("report_id", F.lower("text").alias("lowered"))
     return rows.mapInArrow(summed, f"report_id {kind}, sums array<double>, square double")
 
 

@@ -3,17 +3,22 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import plan_of
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from sluice.functions.text import word_tokens
 from sluice.operators import centroids as cen
 from sluice.operators import row_terms
 from sluice.operators import vocabulary as voc
 from sluice.operators import windows as win
 from sluice.operators.candidates import report_scores
+from sluice.operators.vectors import vectorizer
 from sluice.params import CascadeParams
+from sluice.plans import training
 from sluice.session import StageStore
 
 P = CascadeParams(min_df=2, stop_words=("the", "of"), window_tokens=6, window_overlap=2)
@@ -96,3 +101,58 @@ def test_scores_and_windows_leave_no_term_rows(spark, reports, tmp_path):
     evidence = spark.createDataFrame([(1, 0, "a", 0.5)], "report_id int, chunk_index int, top_label string, score double")
     logical = win.explain(reports, evidence, P)._jdf.queryExecution().optimizedPlan().toString()
     assert logical.index("Generate") < logical.index("Join") and logical.index("regexp_extract_all") < logical.index("Join")
+
+
+def test_texts_are_cut_into_the_words_spark_finds(spark):
+    """Every character, letters newer than the JVM's Unicode among them, between
+    two letters, before one, and alone."""
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(f"a{chr(c)}b {chr(c)}z {chr(c)} " for c in codes[i : i + 5000]) for i in range(0, len(codes), 5000)]
+    plain = ["ab", "cd", "e", "f gh", ""]
+    rows = spark.createDataFrame([(t,) for t in [*plain, *texts, None, "", " x ", "İI ΑΣ É_9\n٣٤"]], "text string")
+    got = rows.select(word_tokens(F.col("text")).alias("tokens"), F.lower("text").alias("lowered")).toArrow()
+    lowered, tokens = (got.column(c).combine_chunks() for c in ("lowered", "tokens"))
+    characters = np.unpackbits(row_terms.word_characters()).view(bool)
+    for a, n in [(0, len(lowered)), (0, 5), (1, 2), (len(lowered) - 4, 2), (len(lowered) - 2, 2), (2, 0)]:
+        sizes, numbers, words = row_terms.coded_words(lowered.slice(a, n), characters)
+        assert sizes.tolist() == row_terms.list_sizes(tokens.slice(a, n)).tolist()
+        assert words.take(pa.array(numbers)).to_pylist() == tokens.slice(a, n).flatten().to_pylist()
+
+
+@pytest.mark.parametrize("at_once", [row_terms.TERMS_AT_ONCE, 7])
+@pytest.mark.parametrize("held", [row_terms.SUMS_AT_ONCE, 1])
+def test_label_sums_of_texts_are_those_of_their_vectors(spark, tmp_path, monkeypatch, at_once, held):
+    monkeypatch.setattr(row_terms, "TERMS_AT_ONCE", at_once)
+    monkeypatch.setattr(row_terms, "SUMS_AT_ONCE", held)
+    texts = ["Red red apple, green apple", "green leaf x", None, "", "red apple red apple", "of the", "green leaf red"]
+    rows = [(i, t, [None, "a", "b"][i % 3]) for i, t in enumerate(texts * 3)]
+    reports = spark.createDataFrame(rows, "report_id int, text string, label string").repartition(2)
+    fitted = vectorizer(voc.fit_vocabulary(voc.report_texts(reports), P, StageStore(spark, str(tmp_path))), P)
+
+    def summed(parts):
+        found = parts.groupBy("label", "idx").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+        return {(r.label, r.idx): (r.s and round(r.s, 12), r.n) for r in found}
+
+    vectors = fitted.transform(voc.report_terms(reports, P, "label"))
+    made = row_terms.text_label_sums(
+        voc.report_texts(reports, "label"), fitted.stages[0].vocabulary, fitted.stages[1].getScalingVec().toArray(),
+        P.stop_words, P.ngram_max,
+    )
+    assert "MapInArrow" in plan_of(made) and summed(made) == summed(row_terms.label_sums(vectors.select("label", "tfidf")))
+
+
+def test_a_model_is_fitted_without_finding_words_in_the_plan(spark, store, monkeypatch):
+    """Texts go to Python whole, for statistics as for sums; and how far the
+    corpus is dealt out is asked of its files, not of the join, which would run."""
+    plans = []
+    put, spread = StageStore.put, training.spread_small
+    monkeypatch.setattr(StageStore, "put", lambda self, name, df, *a: plans.append(plan_of(df)) or put(self, name, df, *a))
+    monkeypatch.setattr(training, "spread_small", lambda df: plans.append(plan_of(df)) or spread(df))
+    rows = [(i, f"g{i}", "red apple leaf") for i in range(40)]
+    reports = spark.createDataFrame(rows, "report_id int, group_id string, text string")
+    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "report_id int, label string")
+    run = training.train(reports, labels, P, store, "report_id")
+    assert run.model.labels == ("a", "b") and run.corpus.count() == 40
+    assert not any("regexp_extract_all" in p for p in plans)
+    asked = [p for p in plans if "Join" not in p and "Scan parquet" in p and "group_id" in p]
+    assert asked and sum("Join" in p and "text" in p for p in plans) == 1
