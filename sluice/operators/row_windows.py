@@ -29,7 +29,7 @@ from sluice.operators.windows import best_candidate, softmax
 
 MODEL_BYTES = 256 << 20
 TERM_BYTES = 32  # of a term, on average
-TOKENS_AT_ONCE = 50_000
+TOKENS_AT_ONCE = 200_000
 NUMBERS_AT_ONCE = 4_000_000
 
 

@@ -83,3 +83,9 @@ def test_large_models_score_by_windows(reports, model, store, monkeypatch):
 
 def test_no_reports(spark, model):
     assert rw.row_evidence(spark.createDataFrame([], "report_id int, text string"), model).count() == 0
+
+
+def test_texts_are_scored_without_finding_words_in_the_plan(spark, model):
+    """A text goes to Python whole, not as one value for each word."""
+    plain = spark.createDataFrame([(1, "red apple")], "report_id int, text string")
+    assert "regexp_extract_all" not in plan_of(rw.row_evidence(plain, model))
