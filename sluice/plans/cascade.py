@@ -112,15 +112,33 @@ class Classified:
     repeated: bool = False  # some ids occur more than once in the input
 
 
-def repeated_ids(reports: DataFrame) -> DataFrame:
-    """report_id, copies, same_text of ids that occur more than once."""
-    digest = F.xxhash64("text")
-    seen = reports.groupBy("report_id").agg(
-        F.count(F.lit(1)).alias("copies"), (F.min(digest) == F.max(digest)).alias("same_text")
+#: Repeated ids up to so many are broadcast, so that no other report moves.
+BROADCAST_IDS = 1_000_000
+
+
+def repeated_ids(checked: DataFrame) -> DataFrame:
+    """report_id, copies, same_text of ids that occur more than once among the
+    good rows of (report_id, reason, digest)."""
+    seen = checked.filter(F.col("reason").isNull()).groupBy("report_id").agg(
+        F.count(F.lit(1)).alias("copies"), (F.min("digest") == F.max("digest")).alias("same_text")
     )
     return seen.filter(F.col("copies") > 1)
 
 
+def one_each(good: DataFrame, repeated: DataFrame, n_repeated: int) -> DataFrame:
+    """report_id, text: one row of each id, none of ids that stand for different
+    texts. Only reports that share their id with others are shuffled and sorted, unless
+    the repeated ids are too many to be broadcast. Rows without id count as one."""
+    if n_repeated > BROADCAST_IDS:
+        mixed = repeated.filter(~F.col("same_text")).select("report_id")
+        return good.join(mixed, "report_id", "left_anti").dropDuplicates(["report_id"])
+    marks = F.broadcast(repeated.select(F.col("report_id").alias("_id"), "same_text"))
+    marked = good.join(marks, F.col("report_id").eqNullSafe(F.col("_id")), "left")
+    once = marked.filter(F.col("same_text").isNull()).select("report_id", "text")
+    shared = marked.filter(F.col("same_text") | F.col("same_text").isNotNull() & F.col("report_id").isNull())
+    return once.unionByName(shared.select("report_id", "text").dropDuplicates(["report_id"]))
+
+
 def classify(
     reports: DataFrame,
     model: CentroidModel,
@@ -149,20 +167,24 @@ def classify(
     reason = reject_reason(F.col("text"))
     if not validate:
         reason = F.when(F.col("text").isNull(), "missing")
-    checked = reports.select("report_id", "text", reason.alias("reason"))
-    good = checked.filter(F.col("reason").isNull()).select("report_id", "text")
+    good = reports.filter(reason.isNull()).select("report_id", "text")
+    # A short row for each report tells which are refused and which are
+    # repeated; the texts are read once for it and once to be scored.
+    short = reports.select("report_id", reason.alias("reason"), F.xxhash64("text").alias("digest"))
+    checked = store.put("checked", short)
     rejects = checked.filter(F.col("reason").isNotNull()).select("report_id", "reason")
-    repeated = store.put("repeated_ids", repeated_ids(good))
-    copies = None
-    if not repeated.isEmpty():
+    repeated = store.put("repeated_ids", repeated_ids(checked))
+    n_repeated = repeated.count()
+    copies, texts = None, good
+    if n_repeated:
         copies = repeated.filter("same_text")
         mixed = repeated.filter(~F.col("same_text")).select("report_id")
-        rejects = rejects.unionByName(
-            good.join(mixed, "report_id", "left_semi").select("report_id", F.lit("ambiguous_id").alias("reason"))
-        )
-        good = good.join(mixed, "report_id", "left_anti")
+        refused = checked.filter(F.col("reason").isNull()).join(mixed, "report_id", "left_semi")
+        rejects = rejects.unionByName(refused.select("report_id", F.lit("ambiguous_id").alias("reason")))
+        texts = one_each(good, repeated, n_repeated)
+        if stage1 is not None:
+            good = good.join(mixed, "report_id", "left_anti")
     candidates = None if stage1 is None else store.put("candidates", stage1(good).distinct())
-    texts = good if copies is None else good.dropDuplicates(["report_id"])
     stages = run_stages(texts, model, store, candidates, window_scorer, scale)
     started = time.perf_counter()
     routed = store.put("routed", route(stages, model, store, backend, reports=texts), watch=True)

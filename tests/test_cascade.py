@@ -2,6 +2,7 @@ import dataclasses
 import math
 
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from sluice.operators import routing, scorers
@@ -295,3 +296,38 @@ def test_stage_rows_of_an_empty_table(spark, reports, model, store):
     done = cascade.classify(reports.limit(0), model, store)
     assert [s["rows"] for s in cascade.stage_report(done)] == [0, 0, 0]
     assert cascade.throughput(done)["reports"] == 0
+
+
+@pytest.mark.parametrize("most", [cascade.BROADCAST_IDS, 0])
+def test_only_reports_that_share_an_id_are_shuffled(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(cascade, "BROADCAST_IDS", most)
+    rows = [("a", "lung"), ("b", "lobe"), ("b", "lobe"), ("c", "skin"), ("c", "mole"), (None, "x"), (None, "y")]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "report_id string, text string").write.parquet(path)
+    good = spark.read.parquet(path)
+    checked = good.select("report_id", F.lit(None).cast("string").alias("reason"), F.xxhash64("text").alias("digest"))
+    repeated = cascade.repeated_ids(checked)
+    assert {(r.report_id, r.copies, r.same_text) for r in repeated.collect()} == {
+        ("b", 2, True), ("c", 2, False), (None, 2, False)
+    }
+    texts = cascade.one_each(good, repeated, 3)
+    got = sorted(((r.report_id or "", r.text) for r in texts.collect()))
+    assert got[0] in [("", "x"), ("", "y")] and got[1:] == [("a", "lung"), ("b", "lobe")]
+    assert ("Union" in plan_of(texts)) == (most > 0)
+
+
+def test_repeats_and_refusals_are_told_from_short_rows(spark, reports, model, tmp_path):
+    """What is refused, repeated or ambiguous is found without the texts."""
+    store = StageStore(spark, str(tmp_path / "run"))
+    path = str(tmp_path / "reports")
+    again = reports.filter("report_id in ('A1', 'B2')")
+    other = reports.filter("report_id = 'C3'").withColumn("text", F.concat("text", F.lit(" and more")))
+    short = spark.createDataFrame([("S1", "gS", "tiny"), ("S2", "gS", None)], reports.schema)
+    reports.unionByName(again).unionByName(other).unionByName(short).write.parquet(path)
+    done = cascade.classify(spark.read.parquet(path), model, store)
+    told = sorted((r.report_id, r.reason) for r in done.rejects.collect())
+    assert told == [("C3", "ambiguous_id")] * 2 + [("S1", "too_short"), ("S2", "missing")]
+    assert path not in "".join(done.rejects.inputFiles())
+    counts = {r.report_id: r["count"] for r in done.results.groupBy("report_id").count().collect()}
+    assert counts["A1"] == counts["B2"] == 2 and "C3" not in counts
+    assert len(counts) == reports.filter("length(text) >= 20").count() - 1
