@@ -61,6 +61,28 @@ def test_rare_terms_are_not_stored(spark, reports, tmp_path):
     assert spark.read.parquet(store.path("term_statistics")).filter("df < 2").count() == 0
 
 
+@pytest.mark.parametrize("most, guess", [(3, None), (5, None), (1_000, None), (None, None), (3, 10_000), (1_000, 10_000)])
+def test_barred_ngrams_leave_the_vocabulary_as_it_is(spark, reports, tmp_path, monkeypatch, most, guess):
+    """Rare n-grams are dropped before they are counted; a bound guessed too high is lowered."""
+    if guess:
+        monkeypatch.setattr(voc, "_guessed_bound", lambda cells, max_features, min_df: guess)
+    params = CascadeParams(min_df=2, max_features=most, stop_words=P.stop_words)
+    store = StageStore(spark, str(tmp_path))
+    everything = voc.fit_vocabulary(voc.report_terms(reports, params), params, store)
+    want = {tuple(r) for r in everything.collect()}
+    for documents in (voc.report_texts(reports), voc.report_tokens(reports)):
+        assert {tuple(r) for r in voc.fit_vocabulary(documents, params, store).collect()} == want
+
+
+def test_cells_never_count_too_little_and_bar_rare_ngrams(reports):
+    tf = Counter(t for _, text in texts() for t in terms_of(text))
+    cells = row_terms.ngram_cells(voc.report_texts(reports), P.stop_words, 2)
+    assert cells.sum() == sum(tf.values())
+    kept = row_terms.partial_ngrams(voc.report_texts(reports), P.stop_words, 2, cells >= 20)
+    got = {r.term: r.tf for r in kept.groupBy("term").agg(F.sum("tf").alias("tf")).collect()}
+    assert got == {t: n for t, n in tf.items() if n >= 20} and len(got) < len(tf)
+
+
 def test_match_adds_up_repeated_ids_and_moves_rows_of_numbers(spark, reports, tmp_path):
     vocab = voc.fit_vocabulary(voc.report_tokens(reports), P, StageStore(spark, str(tmp_path)))
     known = {r.term: r.idf for r in vocab.collect()}
