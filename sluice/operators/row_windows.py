@@ -38,16 +38,17 @@ def fits(model: CentroidModel) -> bool:
     return model.weights.n_terms * (8 * len(model.labels) + TERM_BYTES) <= MODEL_BYTES
 
 
-def _model_arrays(model: CentroidModel) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Terms in index order, idf * weights, squared idf. A term without class
-    weights counts for nothing."""
+def _model_arrays(model: CentroidModel) -> tuple[tuple, np.ndarray, np.ndarray]:
+    """lookup() of the terms in index order, idf * weights, squared idf. A term
+    without class weights counts for nothing. Tasks get it ready made: there are
+    many, and some have few rows."""
     terms = model.counter.vocabulary
     products = np.zeros((len(terms), len(model.labels)))
     square = np.zeros(len(terms))
     for r in model.weights.table.select("idx", "idf", "weights").collect():
         products[r.idx] = np.array(r.weights) * r.idf
         square[r.idx] = r.idf * r.idf
-    return terms, products, square
+    return lookup(terms), products, square
 
 
 def _units(sizes: np.ndarray, window: int, step: int, cap: int | None) -> tuple[np.ndarray, ...]:
@@ -107,8 +108,7 @@ def row_scores(reports: DataFrame, model: CentroidModel) -> DataFrame:
     ngram_max, stop_words, bits = params.ngram_max, list(params.stop_words), word_characters()
 
     def scored(batches) -> Iterator[pa.RecordBatch]:
-        terms, products, square = sent.value
-        held = (lookup(terms), products, square)
+        held = sent.value
         stops, characters = pa.array(stop_words, pa.string()), np.unpackbits(bits).view(bool)
         for batch in one_by_one(batches):
             texts = batch.column("lowered")
@@ -131,7 +131,7 @@ def whole_sums(reports: DataFrame, model: CentroidModel) -> DataFrame:
 
     def summed(batches) -> Iterator[pa.RecordBatch]:
         terms, products, square = sent.value
-        terms, stops = lookup(terms), pa.array(stop_words, pa.string())
+        stops = pa.array(stop_words, pa.string())
         characters = np.unpackbits(bits).view(bool)
         k = products.shape[1]
         for batch in one_by_one(batches):
